@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, licenses, mixing, simhash
+from lectern.llm import chat, licenses, mixing, quality, simhash
 from lectern.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     sly = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
+    "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op10_simhash": op10_simhash,
 }
