@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, licenses, mixing, pii, quality, simhash
+from lectern.llm import chat, language, licenses, mixing, pii, quality, simhash
 from lectern.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
+    "language_id_pages": language_id_pages,
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op10_simhash": op10_simhash,
