@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,34 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns only, so that no other column's name can clash; a null text is an empty one."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1, most: int | None = None) -> Iterator[pa.Table]:
+    """The groups of batches sorted by their first n_keys columns (integers, none null), each whole, or cut after
+    ``most`` rows.  Memory is bounded by a batch and the largest group."""
+    held: list[pa.RecordBatch] = []
+
+    def take(last: bool) -> Iterator[pa.Table]:
+        """What is held: all of it at the group's end, else only full pieces."""
+        nonlocal held
+        if not held or not (last or most):
+            return
+        group = pa.Table.from_batches(held)
+        size = most or group.num_rows
+        stop = group.num_rows if last else group.num_rows // size * size
+        for at in range(0, stop, size):
+            yield group.slice(at, min(size, stop - at))
+        held = [] if last else group.slice(stop).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(n_keys)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(n_keys)):
+            yield from take(True)
+        for a, b in zip(edges, edges[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            yield from take(b < batch.num_rows)
+    yield from take(True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, language, licenses, mixing, pieces, pii, quality, simhash
+from lectern.llm import chat, language, licenses, mixing, pieces, pii, quality, simhash, vectors
 from lectern.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(both.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"))))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_id_pages": language_id_pages,
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
+    "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
 }
 
