@@ -124,3 +124,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                      least(stop, ((i + 1) * words + blocks - 1) div blocks) - greatest(start, (i * words + blocks - 1) div blocks), 0L))
         end""")
     return joined.select("doc_id", "source", "size", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"), taken.alias("taken"))
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of df, all columns, as whole documents: each appears floor(taken / size) times, and once more with the
+    remaining fraction as its chance (by a seeded hash of the id), so a source's words near its target.  Documents
+    without words or blocks go."""
+    share = mix(df, id_col, text_col, source_col).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("share"))
+    share = share.select(F.col("doc_id").alias("shared_id"), "share")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(1 << 20)) / float(1 << 20)
+    copies = (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int")
+    joined = rows.join(share, F.col("id").eqNullSafe(F.col("shared_id"))).where("share is not null")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import id_and_text, map_texts, materialize
@@ -183,3 +183,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = connected_components(near_links(nodes.where("node is not null"), bits))
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of df, all columns, whose id is the smallest of its group.  An id names one document: of rows that
+    repeat it the one with the least text hash stays.  Rows without an id can't be named and stay as they are."""
+    found = near_duplicates(df, id_col, text_col, width, bits)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    order = Window.partitionBy("id").orderBy("h")
+    named = rows.where("id is not null").join(first, F.col("id") == F.col("first_id"), "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return named.select("row").union(rows.where("id is null").select("row")).select("row.*")
