@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, language, licenses, mixing, pieces, pii, quality, simhash, vectors
+from lectern.llm import chat, language, licenses, mixing, pieces, pii, quality, simhash, tokenfile, vectors
 from lectern.llm.common import table
 
 
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.write_file(table(spark, sf_dir, "documents"))
+    return tokenfile.read_documents(spark.read.schema(tokenfile.FILE).parquet(path))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_file": op1_token_file,
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op4_sentencepiece": op4_sentencepiece,
