@@ -1 +1 @@
-
+"""Whole plans put together from operators, and the registered queries."""

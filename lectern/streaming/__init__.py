@@ -1 +1 @@
-
+"""Lessons as they arrive."""
