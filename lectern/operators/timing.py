@@ -22,21 +22,25 @@ def word_intervals(rows: DataFrame, key: str, text_col: str, duration_col: str,
     weight: word column -> number column, 1 by default.  Without any weight the whole text is one interval; a blank
     text has it only if ``blank``.  The last word ends with the sentence.
     """
-    base = rows.select(F.col(key), F.col(text_col).alias("text"), F.col(duration_col).cast("double").alias("duration"), F.filter(tokens(F.col(text_col), closing_apart), lambda w: ~w.isin(*PUNCTUATION)).alias("words"))
-    words = base.select(key, "duration", "text", F.posexplode("words").alias("pos", "word"))
-    words = words.withColumn("weight", (weight(F.col("word")) if weight else F.lit(1)).cast("double"))
-    whole = Window.partitionBy(key)
-    order = whole.orderBy("pos")
-    words = words.withColumns({
-        "total": F.sum("weight").over(whole),
-        "before": F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "last": F.lead("pos").over(order).isNull(),
-    })
-    shared = words.where("total > 0").select(key, "pos", "word", (F.col("duration") * F.col("before") / F.col("total")).alias("start_s"), F.when(F.col("last"), F.col("duration")).otherwise(F.col("duration") * (F.col("before") + F.col("weight")) / F.col("total")).alias("end_s"))
-    unweighted = words.where("total = 0 and pos = 0").select(key, "text", "duration")
-    wordless = base.where(F.size("words") == 0).where(F.lit(True) if blank else trim(F.col("text")) != "").select(key, "text", "duration")
-    single = wordless.union(unweighted).select(key, F.lit(0).alias("pos"), trim(F.col("text")).alias("word"), F.lit(0.0).alias("start_s"), F.col("duration").alias("end_s"))
-    return shared.union(single)
+    words = F.filter(tokens(F.col(text_col), closing_apart), lambda w: ~w.isin(*PUNCTUATION))
+    base = rows.select(F.col(key), F.col(text_col).alias("text"), F.col(duration_col).cast("double").alias("duration"), words.alias("words"))
+    # Only words, not texts, go through the explosion; equal weights need no running sum and so no shuffle.
+    if weight is None:
+        base = base.withColumn("total", F.size("words").cast("double"))
+        spread = base.where("total > 0").select(key, "duration", "total", F.posexplode("words").alias("pos", "word"))
+        spread = spread.withColumns({"before": F.col("pos").cast("double"), "weight": F.lit(1.0)})
+    else:
+        base = base.withColumn("weights", F.transform("words", lambda w: weight(w).cast("double")))
+        base = base.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
+        spread = base.where("total > 0").select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(F.arrays_zip("words", "weights")).alias("pos", "w"))
+        spread = spread.select(key, "duration", "total", "n", "pos", F.col("w.words").alias("word"), F.col("w.weights").alias("weight"))
+        so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        spread = spread.withColumn("before", F.coalesce(F.sum("weight").over(so_far), F.lit(0.0)))
+    last = F.col("pos") == (F.col("total") if weight is None else F.col("n")) - 1
+    end = F.when(last, F.col("duration")).otherwise(F.col("duration") * (F.col("before") + F.col("weight")) / F.col("total"))
+    shared = spread.select(key, "pos", "word", (F.col("duration") * F.col("before") / F.col("total")).alias("start_s"), end.alias("end_s"))
+    single = base.where("total = 0").where(F.lit(True) if blank else (F.size("words") > 0) | (trim(F.col("text")) != ""))
+    return shared.union(single.select(key, F.lit(0).alias("pos"), trim(F.col("text")).alias("word"), F.lit(0.0).alias("start_s"), F.col("duration").alias("end_s")))
 
 
 def rounded(intervals: DataFrame) -> DataFrame:
