@@ -28,7 +28,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 20
 BLOCK_WORDS = 16
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 #: Primes above any number of blocks in a shard: strides of the block permutation.
 STRIDES = (2147483549, 2147483563, 2147483579, 2147483587, 2147483629, 2147483647)
 
