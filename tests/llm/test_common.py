@@ -1,11 +1,12 @@
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm import common
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60), st.integers(1, 9), st.sampled_from([None, 1, 3]))
 def test_runs_are_whole_groups_or_full_pieces(keys, size, most):
     keys = sorted(keys)
