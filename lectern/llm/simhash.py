@@ -87,8 +87,9 @@ def _block_keys(fp: Column, n: int, same: int) -> Column:
     return F.array(*keys)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _differing(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of 64-bit words."""
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
 def _walk(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -97,7 +98,7 @@ def _walk(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.nd
         front_f, front_n, fps, nodes = [fps[0]], [nodes[0]], fps[1:], nodes[1:]
         while front_f and len(fps):
             f, n = front_f.pop(), front_n.pop()
-            near = _popcount(fps ^ f) <= bits
+            near = _differing(fps ^ f) <= bits
             if near.any():
                 yield np.full(int(near.sum()), n), nodes[near]
                 front_f.extend(fps[near])
@@ -107,12 +108,13 @@ def _walk(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.nd
 
 def _link_group(fps: np.ndarray, nodes: np.ndarray, bits: int, n: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of one bucket.  Large groups are split again by choices of n - bits of n blocks, which loses no pair."""
-    if len(fps) <= 4096 or n > 16:
+    fps = fps.reshape(len(fps), -1)
+    if len(fps) <= 4096 or n > 16 or fps.shape[1] > 1:
         yield from _walk(fps, nodes, bits)
         return
     for chosen in combinations(_blocks(n), n - bits):
         mask = sum(((1 << w) - 1) << s for s, w in chosen)
-        key = fps & np.uint64(mask)
+        key = fps[:, 0] & np.uint64(mask)
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for part in np.split(order, cuts):
@@ -128,7 +130,7 @@ def _link_sorted(bits: int):
         starts, sizes = np.r_[0, cuts], np.diff(np.r_[0, cuts, len(keys)])
         left, right = [], []
         pairs = starts[sizes == 2]  # most buckets with any pair hold two
-        near = _popcount(fps[pairs] ^ fps[pairs + 1]) <= bits
+        near = _differing(fps[pairs] ^ fps[pairs + 1]) <= bits
         left.append(nodes[pairs[near]])
         right.append(nodes[pairs[near] + 1])
         for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -144,14 +146,15 @@ def _link_sorted(bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, node = (np.asarray(batch.column(i)) for i in range(3))
+            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            fp = np.stack([np.asarray(batch.column(i)).view(np.uint64) for i in range(2, batch.num_columns)], axis=1)
             if held and key[-1] == held[-1][0][-1]:  # all of one run so far
-                held.append((key, fp.view(np.uint64), node))
+                held.append((key, fp, node))
                 continue
             cut = int(np.searchsorted(key, key[-1], side="left"))
-            held.append((key[:cut], fp[:cut].view(np.uint64), node[:cut]))
+            held.append((key[:cut], fp[:cut], node[:cut]))
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held = [(key[cut:], fp[cut:].view(np.uint64), node[cut:])]
+            held = [(key[cut:], fp[cut:], node[cut:])]
         if held:
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -159,6 +162,7 @@ def _link_sorted(bits: int):
 
 
 def _bucket_links(keyed: DataFrame, bits: int) -> DataFrame:
+    """keyed: (key, node, words of the fingerprint)."""
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_link_sorted(bits), "a long, b long")
 
@@ -166,13 +170,13 @@ def _bucket_links(keyed: DataFrame, bits: int) -> DataFrame:
 def near_links(nodes: DataFrame, bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """nodes: (fp long, distinct; node long).  Returns (a, b): links whose components are those of all pairs of
     fingerprints at ``bits`` or fewer differing bits.  The hot keys are at most 10 n / hot_bucket rows."""
-    keyed = nodes.select(F.explode(_block_keys(F.col("fp"), bits + 2, 2)).alias("key"), "fp", "node")
+    keyed = nodes.select(F.explode(_block_keys(F.col("fp"), bits + 2, 2)).alias("key"), "node", "fp")
     hot = keyed.groupBy("key").count().where(F.col("count") > hot_bucket).select("key")
     hot = materialize(hot, "hot-buckets")
     if hot.isEmpty():
         return _bucket_links(keyed, bits)
-    finer = keyed.join(hot, "key", "left_semi").select("fp", "node").distinct()
-    finer = finer.select(F.explode(_block_keys(F.col("fp"), 8, 8 - bits)).alias("key"), "fp", "node")
+    finer = keyed.join(hot, "key", "left_semi").select("node", "fp").distinct()
+    finer = finer.select(F.explode(_block_keys(F.col("fp"), 8, 8 - bits)).alias("key"), "node", "fp")
     return _bucket_links(keyed.join(hot, "key", "left_anti"), bits).union(_bucket_links(finer, bits))
 
 
@@ -185,10 +189,92 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = MAX_BITS) -> DataFrame:
+# --- near copies by the share of common shingles -------------------------------------------------------------------
+#
+# Two texts that share 80 % of their five-word shingles differ in some 15 % of a fingerprint's bits, too many for exact
+# pigeonholing of 64 bits.  Long fingerprints are cut into many blocks instead: of two-word shingles, which fewer edits
+# touch, so that a close pair shares one of ``BLOCKS`` blocks with a chance of 99 %; the Hamming distance of 256-bit
+# fingerprints of five-word shingles (each once) then verifies each pair.  The limit lies one standard deviation beyond
+# what ``SIMILARITY`` gives, so that few such pairs are missed; some of 0.6 to 0.8 are taken too.
+
+COPY_WIDTH = 5
+SIMILARITY = 0.8
+BLOCK_WIDTH = 2
+BLOCKS = 40
+BLOCK_BITS = 22
+CHECK_WORDS = 4
+_BLOCK_WORDS = -(-BLOCKS * BLOCK_BITS // 64)
+_ODD = (np.arange(1, _BLOCK_WORDS + CHECK_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bits_for(similarity: float, total: int = 64 * CHECK_WORDS) -> int:
+    """Differing bits of two fingerprints at a Jaccard similarity, and one standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(total * share + np.sqrt(total * share * (1 - share)))
+
+
+def _long_fingerprint(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """64 bits for each multiplier: majority bits of differently mixed hashes."""
+    counts = np.zeros(64 * len(odd), np.int64)
+    for at in range(0, len(hashes), 2048):
+        x = hashes[at : at + 2048, None] * odd
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _sketch(text: str, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(128-bit hash of the words, block keys, fingerprint to verify with)."""
+    content = xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+    wide = np.unpackbits(_long_fingerprint(np.unique(shingle_hashes(text, BLOCK_WIDTH)), _ODD[:_BLOCK_WORDS]).view(np.uint8), bitorder="little")
+    blocks = wide[: BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
+    keys = blocks | (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
+    return content, keys, _long_fingerprint(np.unique(shingle_hashes(text, width)), _ODD[_BLOCK_WORDS:])
+
+
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH) -> DataFrame:
+    words = [f"f{i}" for i in range(CHECK_WORDS)]
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        content, keys, check = zip(*[_sketch(t, width) for t in batch.column(1).to_pylist()], strict=True)
+        keys = pa.ListArray.from_arrays(np.arange(0, BLOCKS * len(keys) + 1, BLOCKS, dtype=np.int32), np.concatenate(keys))
+        check = np.stack(check).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), keys, *[pa.array(check[:, i]) for i in range(CHECK_WORDS)]], names=["doc_id", "content", "keys", *words])
+
+    return map_texts(id_and_text(df, id_col, text_col), of, f"doc_id long, content binary, keys array<long>, {', '.join(f'{w} long' for w in words)}")
+
+
+def _in_chunks(keyed: DataFrame, hot_bucket: int) -> DataFrame:
+    """Buckets over ``hot_bucket`` rows are dealt out as pairs of chunks of about that size: every pair of rows still
+    meets, and no task holds more than two chunks."""
+    hot = materialize(keyed.groupBy("key").agg(F.ceil(F.count("*") / hot_bucket).cast("int").alias("chunks")).where("chunks > 1"), "hot-buckets")
+    if hot.isEmpty():
+        return keyed
+    rows = keyed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return keyed.join(hot, "key", "left_anti").union(rows.select(key.alias("key"), *keyed.columns[1:]))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(doc_id, component_id): one row for each row of df.  Texts of equal words are one class; classes whose shingles'
+    similarity is about ``similarity`` or more are linked (99 % of such pairs share a block)."""
+    words = [f"f{i}" for i in range(CHECK_WORDS)]
+    marked = materialize(sketches(df, id_col, text_col, width), "sketches")
+    nodes = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
+    nodes = materialize(nodes, "sketch-classes")
+    keyed = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
+    links = _bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity))
+    labels = nodes.join(connected_components(links), "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "content").join(labels, "content").select("doc_id", "component_id")
+
+
+def first_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df, all columns, whose id is the smallest of its group.  An id names one document: of rows that
     repeat it the one with the least text hash stays.  Rows without an id can't be named and stay as they are."""
-    found = near_duplicates(df, id_col, text_col, width, bits)
+    found = near_copies(df, id_col, text_col, width, similarity)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
     order = Window.partitionBy("id").orderBy("h")

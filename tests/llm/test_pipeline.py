@@ -13,7 +13,7 @@ def test_stages_agree_with_their_operators(spark):
     one = corpus_pipeline.language_stage(spark, docs, sf).cache()
     assert {r.doc_id for r in one.collect()} == kept and len(kept) > 0.97 * docs.count()
 
-    groups = simhash.near_duplicates(one).collect()
+    groups = simhash.near_copies(one).collect()
     two = corpus_pipeline.near_duplicate_stage(spark, one, sf).cache()
     assert sorted(r.doc_id for r in two.collect()) == sorted({r.component_id for r in groups})
 

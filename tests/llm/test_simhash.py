@@ -70,7 +70,7 @@ def test_large_group_is_split_without_loss():
     nodes = np.arange(len(fps))
     links = [p for a, b in simhash._link_group(fps, nodes, 3) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert all(int(fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links)
-    plain = [p for a, b in simhash._walk(fps, nodes, 3) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    plain = [p for a, b in simhash._walk(fps[:, None], nodes, 3) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert plain_components(nodes.tolist(), links) == plain_components(nodes.tolist(), plain)
 
 
@@ -84,3 +84,59 @@ def test_nulls_repeats_and_clashing_names(spark):
 def test_fingerprint_is_sparks_hash(spark):
     h = spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64
     assert simhash.fingerprint(simhash.shingle_hashes("A b\tc")) == h
+
+
+def jaccard(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def planted_copies(n=150, seed=4):
+    """(id, text): texts, copies of each with some words changed, and texts that share only a passage."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    rows, pairs = [], []
+    passage = " ".join(word() for _ in range(60))
+    for i in range(n):
+        words = [word() for _ in range(int(rng.integers(80, 400)))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, len(words) // int(rng.integers(45, 200))), replace=False):
+            other[at] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other).title())]
+        pairs.append((2 * i, 2 * i + 1))
+    rows += [(1000 + i, passage + " " + " ".join(word() for _ in range(140))) for i in range(40)]
+    return rows, pairs
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT_BUCKET, 1])
+def test_near_copies_are_caught_and_others_left_alone(spark, hot):
+    rows, pairs = planted_copies(n=150 if hot > 1 else 20)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), hot_bucket=hot).collect()}
+    text = dict(rows)
+    close = [p for p in pairs if jaccard(text[p[0]], text[p[1]]) >= 0.8]
+    assert len(close) > len(pairs) / 2
+    assert sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+    together = {}
+    for i, c in got.items():
+        together.setdefault(c, []).append(i)
+    for group in together.values():
+        assert all(jaccard(text[group[0]], text[i]) > 0.55 for i in group)
+
+
+def test_near_copies_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    copies = {}
+    for i, t in sorted(text.items()):
+        copies.setdefault(" ".join(t.lower().split()), []).append(i)
+    assert all(len({got[i] for i in group}) == 1 for group in copies.values())
+    merged = [(i, c) for i, c in got.items() if i != c]
+    assert all(max(jaccard(text[i], text[j]) for j in got if got[j] == c and j != i) > 0.55 for i, c in merged)
+
+
+def test_bits_for():
+    assert simhash.bits_for(0.8) == 45 and simhash.bits_for(1.0) == 0
