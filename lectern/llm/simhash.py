@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import id_and_text, map_texts, materialize
+from lectern.llm.common import id_and_text, map_texts, materialize, runs
 from lectern.llm.components import connected_components
 
 MAX_BITS = 3
@@ -194,8 +194,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Two texts that share 80 % of their five-word shingles differ in some 15 % of a fingerprint's bits, too many for exact
 # pigeonholing of 64 bits.  Long fingerprints are cut into many blocks instead: of two-word shingles, which fewer edits
 # touch, so that a close pair shares one of ``BLOCKS`` blocks with a chance of 99 %; the Hamming distance of 256-bit
-# fingerprints of five-word shingles (each once) then verifies each pair.  The limit lies one standard deviation beyond
-# what ``SIMILARITY`` gives, so that few such pairs are missed; some of 0.6 to 0.8 are taken too.
+# fingerprints of five-word shingles (each once) then leaves loose groups.  Inside each group the exact share of common
+# shingles decides, so no pair below ``SIMILARITY`` is linked.
 
 COPY_WIDTH = 5
 SIMILARITY = 0.8
@@ -203,6 +203,9 @@ BLOCK_WIDTH = 2
 BLOCKS = 40
 BLOCK_BITS = 22
 CHECK_WORDS = 4
+#: Texts, and shingles, of a loose group that are compared at once with as many others.
+CHUNK_TEXTS = 512
+CHUNK_SHINGLES = 1 << 19
 _BLOCK_WORDS = -(-BLOCKS * BLOCK_BITS // 64)
 _ODD = (np.arange(1, _BLOCK_WORDS + CHECK_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -225,9 +228,14 @@ def _long_fingerprint(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
+def _content(text: str) -> bytes:
+    """128-bit hash of the words."""
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+
+
 def _sketch(text: str, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(128-bit hash of the words, block keys, fingerprint to verify with)."""
-    content = xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+    """(128-bit hash of the words, block keys, fingerprint to filter with)."""
+    content = _content(text)
     wide = np.unpackbits(_long_fingerprint(np.unique(shingle_hashes(text, BLOCK_WIDTH)), _ODD[:_BLOCK_WORDS]).view(np.uint8), bitorder="little")
     blocks = wide[: BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
     keys = blocks | (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
@@ -258,15 +266,71 @@ def _in_chunks(keyed: DataFrame, hot_bucket: int) -> DataFrame:
     return keyed.join(hot, "key", "left_anti").union(rows.select(key.alias("key"), *keyed.columns[1:]))
 
 
+def _exact_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links of the pairs whose sets, none empty, have a Jaccard similarity of ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    cells = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(cells), np.int32)
+    rest = np.arange(len(sets))
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            f = front.pop()
+            mine = cells[starts[f] : starts[f] + sizes[f]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[cells], starts)[rest]
+            mark[mine] = 0
+            near = common >= similarity * (sizes[f] + sizes[rest] - common) - 1e-9
+            if near.any():
+                yield np.full(int(near.sum()), nodes[f]), nodes[rest[near]]
+                front.extend(rest[near].tolist())
+                rest = rest[~near]
+
+
+def _verified_links(df: DataFrame, loose: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """loose: (grp, node, content).  Returns (a, b): links whose components are those of all pairs of one loose group
+    with an exact similarity of ``similarity`` or more.  A large group is dealt out as pairs of chunks."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grp, node, content, text = (batch.column(i).to_pylist() for i in range(4))
+        at = [i for i, t in enumerate(text) if _content(t) == content[i]]  # other rows may repeat the id
+        found = [np.unique(shingle_hashes(text[i], width)) for i in at]
+        columns = [[grp[i] for i in at], [node[i] for i in at], [content[i] for i in at]]
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in found], pa.binary())], names=["grp", "node", "content", "shingles"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            if group.num_rows < 2:
+                continue
+            nodes = np.asarray(group.column("node"))
+            for a, b in _exact_links(nodes, [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    texts = id_and_text(df, id_col, text_col).join(loose, F.col("doc_id") == F.col("node")).select("grp", "node", "content", "text")
+    found = map_texts(texts, sets, "grp long, node long, content binary, shingles binary").dropDuplicates(["content"])
+    found = materialize(found.where(F.octet_length("shingles") > 0), "shingle-sets")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum(F.octet_length("shingles")) / (8 * CHUNK_SHINGLES))).cast("int")
+    sizes = found.groupBy("grp").agg(chunks.alias("chunks"))
+    placed = found.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = placed.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles")
+    return pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(links, "a long, b long")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, component_id): one row for each row of df.  Texts of equal words are one class; classes whose shingles'
-    similarity is about ``similarity`` or more are linked (99 % of such pairs share a block)."""
+    similarity is ``similarity`` or more are linked (99 % of such pairs share a block)."""
     words = [f"f{i}" for i in range(CHECK_WORDS)]
     marked = materialize(sketches(df, id_col, text_col, width), "sketches")
     nodes = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
     nodes = materialize(nodes, "sketch-classes")
     keyed = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
-    links = _bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity))
+    loose = connected_components(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity)))
+    loose = materialize(nodes.join(loose, "node").select(F.col("component").alias("grp"), "node", "content"), "loose-groups")
+    links = _verified_links(df, loose, id_col, text_col, width, similarity)
     labels = nodes.join(connected_components(links), "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "content").join(labels, "content").select("doc_id", "component_id")
 

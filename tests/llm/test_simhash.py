@@ -140,3 +140,37 @@ def test_near_copies_of_the_table(spark):
 
 def test_bits_for():
     assert simhash.bits_for(0.8) == 45 and simhash.bits_for(1.0) == 0
+
+
+def test_pairs_below_the_similarity_are_left_alone(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    rows = []
+    for i in range(120):  # a tail of 22 to 45 % more words: similarities of 0.69 to 0.82
+        words = [word() for _ in range(200)]
+        more = [word() for _ in range(int(rng.integers(44, 90)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + more))]
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    far = [i for i in range(120) if jaccard(text[2 * i], text[2 * i + 1]) < 0.8]
+    assert len(far) > 60
+    assert not [i for i in far if got[2 * i] == got[2 * i + 1]]
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK_TEXTS, 7])
+def test_exact_links_of_a_loose_group(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK_TEXTS", chunk)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7, "an id that repeats with another text")]
+    for i in range(40):  # one template with changed passages: similarities on both sides of 0.8
+        other, at = list(words), int(rng.integers(0, 50))
+        other[at : at + int(rng.integers(1, 8))] = [f"x{i}", f"y{i % 3}"]
+        rows.append((i, " ".join(other)))
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    loose = spark.createDataFrame([(0, i, simhash._content(t)) for i, t in rows[1:]], "grp long, node long, content binary")
+    found = [(r.a, r.b) for r in simhash._verified_links(df, loose, "doc_id", "text", 5, 0.8).collect()]
+    text = dict(rows[1:])
+    links = [(i, j) for i in text for j in text if i < j and jaccard(text[i], text[j]) >= 0.8]
+    assert {(min(x), max(x)) for x in found} <= set(links)
+    assert plain_components(list(text), found) == plain_components(list(text), links)
