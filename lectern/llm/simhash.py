@@ -193,16 +193,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #
 # Two texts that share 80 % of their five-word shingles differ in some 15 % of a fingerprint's bits, too many for exact
 # pigeonholing of 64 bits.  Long fingerprints are cut into many blocks instead: of two-word shingles, which fewer edits
-# touch, so that a close pair shares one of ``BLOCKS`` blocks with a chance of 99 %; the Hamming distance of 256-bit
-# fingerprints of five-word shingles (each once) then leaves loose groups.  Inside each group the exact share of common
-# shingles decides, so no pair below ``SIMILARITY`` is linked.
+# touch.  Where a passage was added, cut or replaced the two-word similarity is ``SIMILARITY`` too; ``BLOCKS`` blocks of
+# ``BLOCK_BITS`` are sized for that: such a pair shares one with a chance of 99 %.  The Hamming distance of 256-bit
+# fingerprints of five-word shingles (each once), its limit ``DEVIATIONS`` standard deviations beyond what ``SIMILARITY``
+# gives, then leaves loose groups.  Inside each group the exact share of common shingles decides, so no pair below
+# ``SIMILARITY`` is linked.
 
 COPY_WIDTH = 5
 SIMILARITY = 0.8
 BLOCK_WIDTH = 2
-BLOCKS = 40
-BLOCK_BITS = 22
+BLOCKS = 96
+BLOCK_BITS = 18
 CHECK_WORDS = 4
+DEVIATIONS = 4.0
 #: Texts, and shingles, of a loose group that are compared at once with as many others.
 CHUNK_TEXTS = 512
 CHUNK_SHINGLES = 1 << 19
@@ -210,10 +213,10 @@ _BLOCK_WORDS = -(-BLOCKS * BLOCK_BITS // 64)
 _ODD = (np.arange(1, _BLOCK_WORDS + CHECK_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def bits_for(similarity: float, total: int = 64 * CHECK_WORDS) -> int:
-    """Differing bits of two fingerprints at a Jaccard similarity, and one standard deviation more."""
+def bits_for(similarity: float, total: int = 64 * CHECK_WORDS, deviations: float = 1.0) -> int:
+    """Differing bits of two fingerprints at a Jaccard similarity, and some standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(total * share + np.sqrt(total * share * (1 - share)))
+    return round(total * share + deviations * np.sqrt(total * share * (1 - share)))
 
 
 def _long_fingerprint(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -328,7 +331,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     nodes = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
     nodes = materialize(nodes, "sketch-classes")
     keyed = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
-    loose = connected_components(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity)))
+    loose = connected_components(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity, deviations=DEVIATIONS)))
     loose = materialize(nodes.join(loose, "node").select(F.col("component").alias("grp"), "node", "content"), "loose-groups")
     links = _verified_links(df, loose, id_col, text_col, width, similarity)
     labels = nodes.join(connected_components(links), "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))

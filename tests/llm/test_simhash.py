@@ -157,7 +157,7 @@ def test_pairs_below_the_similarity_are_left_alone(spark):
     assert not [i for i in far if got[2 * i] == got[2 * i + 1]]
 
 
-@pytest.mark.parametrize("chunk", [simhash.CHUNK_TEXTS, 7])
+@pytest.mark.parametrize("chunk", [512, 7])
 def test_exact_links_of_a_loose_group(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK_TEXTS", chunk)
     rng = np.random.default_rng(9)
@@ -174,3 +174,21 @@ def test_exact_links_of_a_loose_group(spark, monkeypatch, chunk):
     links = [(i, j) for i in text for j in text if i < j and jaccard(text[i], text[j]) >= 0.8]
     assert {(min(x), max(x)) for x in found} <= set(links)
     assert plain_components(list(text), found) == plain_components(list(text), links)
+
+
+@pytest.mark.parametrize("kind", ["added", "cut", "replaced"])
+def test_copies_with_a_changed_passage_are_caught(spark, kind):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    rows = []
+    for i in range(150):
+        words, wanted = [word() for _ in range(int(rng.integers(150, 400)))], rng.uniform(0.8, 0.85)
+        n = int(len(words) * {"added": 1 / wanted - 1, "cut": 1 - wanted, "replaced": (1 - wanted) / (1 + wanted)}[kind])
+        at = int(rng.integers(0, len(words) - n))
+        other = words[:at] + [word() for _ in range(0 if kind == "cut" else n)] + words[at + (0 if kind == "added" else n) :]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [i for i in range(150) if 0.8 <= jaccard(text[2 * i], text[2 * i + 1]) < 0.86]
+    assert len(close) > 60
+    assert sum(got[2 * i] == got[2 * i + 1] for i in close) >= 0.97 * len(close)
