@@ -11,8 +11,11 @@
 4. These links form components.  A list full of links is saturated: it is enlarged to its whole component, in which
    all pairs are compared, in blocks of ``BLOCK`` classes, so that no task holds more than two blocks and only counts
    leave a task.
-5. Audit: the links of ``AUDIT`` classes (chosen by a hash of the id) are found by comparing them with every class of
-   their label; if fewer than ``LEAST_RECALL`` of them lie inside the components, more orders and rounds follow.
+5. Audit: the links of classes chosen by a hash of the id are found by comparing them with every class of their label.
+   More classes are asked until ``EVIDENCE`` groups of links were met, all classes or ``AUDIT_MOST`` were asked.  Recall
+   is weighed by link, by class and by group, where a class of n links counts as a share 1 / (n + 1) of one; the least
+   of them counts.  While it is below ``LEAST_RECALL``, or the evidence is too little to tell, more orders and rounds
+   follow; after ``MAX_AUDITS`` a lower recall is an error, and too little evidence a warning.
 
 Cosines are computed in double precision from the given components; no link is below the threshold.  The search may
 miss links between components; inside a component counts are exact.  Repeated rows are vectors of their own.
@@ -20,6 +23,7 @@ miss links between components; inside a component counts are exact.  Repeated ro
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,9 +47,15 @@ MAX_ROUNDS = 4
 #: The descent ends when fewer than this share of list entries are new.
 SETTLED = 0.03
 BLOCK = 1024
-AUDIT = 200
+#: Classes asked at once, first and then, and in all.
+AUDIT = 2000
+AUDIT_NEXT = 8000
+AUDIT_MOST = 42_000
+EVIDENCE = 100
 LEAST_RECALL = 0.97
-MAX_AUDITS = 3
+MAX_AUDITS = 12
+#: Cosines held at once by a task of the audit.
+AUDIT_CELLS = 1 << 21
 
 
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -211,29 +221,64 @@ def neighbour_pairs(points: DataFrame, graph: DataFrame, kind: str, threshold: f
     return members.repartition("w").sortWithinPartitions("w").mapInArrow(_joins(kind, threshold), _FOUND)
 
 
-def _audit(points: DataFrame, named: DataFrame, kind: str, threshold: float) -> float:
-    """The share of the sampled classes' true links whose ends are in one component.  The sample is at most AUDIT rows."""
-    located = points.join(named, points["id"] == named["node"], "left").select("id", "grp", "vec", F.coalesce("component", "id").alias("component"))
-    sample = located.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
-    asked = [(r["id"], r["grp"], bytes(r["vec"]), r["component"]) for r in sample]
+def _asked(located: DataFrame, asked: list[tuple[int, int, bytes, int]], kind: str, threshold: float) -> list[tuple[int, int]]:
+    """(true links, those inside the components) of each asked class that has links."""
+    groups: dict[int, list[int]] = {}
+    for i, (_, grp, _, _) in enumerate(asked):
+        groups.setdefault(grp, []).append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = caught = 0
+        queries = {}
+        for grp, at in groups.items():
+            x = _matrix(pa.chunked_array([pa.array([asked[i][2] for i in at], pa.binary())]), kind)
+            queries[grp] = np.array(at), x, np.array([asked[i][0] for i in at]), np.array([asked[i][3] for i in at])
+        true, caught = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         for batch in batches:
-            groups, ids, parts = np.asarray(batch.column(1)), np.asarray(batch.column(0)), np.asarray(batch.column(3))
-            for grp in {g for _, g, _, _ in asked}:
-                at = np.flatnonzero(groups == grp)
-                if len(at):
-                    mine = [a for a in asked if a[1] == grp]
-                    q = _matrix(pa.chunked_array([pa.array([a[2] for a in mine], pa.binary())]), kind)
+            ids, labels, parts = (np.asarray(batch.column(i)) for i in (0, 1, 3))
+            for grp in np.unique(labels).tolist():
+                if grp not in queries:
+                    continue
+                mine, q, mine_ids, mine_parts = queries[grp]
+                rows = np.flatnonzero(labels == grp)
+                step = max(1, AUDIT_CELLS // len(mine))
+                for at in (rows[k : k + step] for k in range(0, len(rows), step)):
                     near = _cosines(q, _matrix(batch.column(2).take(pa.array(at)), kind)) >= threshold
-                    near &= np.array([a[0] for a in mine])[:, None] != ids[at]
-                    true += int(near.sum())
-                    caught += int((near & (np.array([a[3] for a in mine])[:, None] == parts[at])).sum())
-        yield pa.RecordBatch.from_pydict({"links": [true], "caught": [caught]})
+                    near &= mine_ids[:, None] != ids[at]
+                    true[mine] += near.sum(axis=1)
+                    caught[mine] += (near & (mine_parts[:, None] == parts[at])).sum(axis=1)
+        some = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(caught[some])], names=["i", "links", "caught"])
+
+    found = located.mapInArrow(run, "i long, links long, caught long").groupBy("i").agg(F.sum("links").alias("links"), F.sum("caught").alias("caught"))
+    return [(r["links"], r["caught"]) for r in found.collect()]
+
 
-    row = located.mapInArrow(run, "links long, caught long").agg(F.sum("links"), F.sum("caught")).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+def _audit(points: DataFrame, named: DataFrame, kind: str, threshold: float) -> float | None:
+    """The share of true links whose ends are in one component, by the weight that gives the least; None if the asked
+    classes show too few links to tell.  At most ``AUDIT_NEXT`` classes are held at once."""
+    located = points.join(named, points["id"] == named["node"], "left").select("id", "grp", "vec", F.coalesce("component", "id").alias("component"))
+    located = materialize(located.withColumn("h", F.xxhash64("id")), "located")
+    last, asked, found = None, 0, []
+    while True:
+        limit = AUDIT_NEXT if asked else AUDIT
+        left = located if last is None else located.where(F.struct("h", "id") > F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias("id")))
+        sample = left.orderBy("h", "id").limit(limit).collect()
+        if sample:
+            found += _asked(located.drop("h"), [(r["id"], r["grp"], bytes(r["vec"]), r["component"]) for r in sample], kind, threshold)
+            last = sample[-1]["h"], sample[-1]["id"]
+        asked += len(sample)
+        whole = len(sample) < limit
+        links, caught = np.array(found, float).reshape(-1, 2).T
+        share = 1 / (links + 1)
+        enough = 2 * share.sum() >= EVIDENCE  # a pair has two classes
+        if enough or whole or asked >= AUDIT_MOST:
+            break
+    if not (enough or whole):
+        return None
+    if not len(links):
+        return 1.0  # all classes were asked
+    recall = caught / links
+    return float(min(caught.sum() / links.sum(), recall.mean(), (share * recall).sum() / share.sum()))
 
 
 def _counts(kind: str, threshold: float):
@@ -290,8 +335,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if graph.where("fresh").count() <= SETTLED * NEIGHBOURS * total:
                 break
         named = materialize(connected_components(reduce(DataFrame.union, links)), "vector-components")
-        if _audit(points, named, kind, threshold) >= LEAST_RECALL:
+        recall = _audit(points, named, kind, threshold)
+        if recall is not None and recall >= LEAST_RECALL:
             break
+    else:
+        if recall is not None:
+            raise RuntimeError(f"the search found {recall:.3f} of the audited links after {MAX_AUDITS} audits")
+        warnings.warn(f"too few links among {AUDIT_MOST} classes to tell the recall of the search", stacklevel=2)
     counted = count_links(points, named, kind, threshold)
     done = points.join(named, points["id"] == named["node"], "left").join(counted, "id", "left")
     done = done.select("grp", "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

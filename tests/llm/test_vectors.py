@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lectern.llm import vectors
 
@@ -69,5 +70,35 @@ def test_odd_vectors(spark):
     assert got == sorted([(i, *want.get(i, (0, i, True))) for i, *_ in rows], key=str)
 
 
+def test_audit_sees_rare_links_beside_a_dense_cluster(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: np.asarray(x / np.linalg.norm(x), np.float32)
+    alone, centre = [unit(rng.normal(size=32)) for _ in range(3000)], rng.normal(size=32)
+    dense = [unit(centre + 0.1 * rng.normal(size=32)) for _ in range(1000)]
+    twins = [unit(alone[i] + 0.02 * rng.normal(size=32)) for i in range(80)]
+    points = spark.createDataFrame([(i, 1, v.tobytes(), 1) for i, v in enumerate([*alone, *dense, *twins])], "id long, grp long, vec binary, n long")
+    caught = [(3000 + i, 3000) for i in range(1000)] + [x for i in range(40) for x in ((i, i), (4000 + i, i))]
+    named = spark.createDataFrame(caught, "node long, component long")
+    assert vectors._audit(points, named, "<f4", 0.93) < 0.6  # half of the pairs are missed
+    every = spark.createDataFrame(caught + [x for i in range(40, 80) for x in ((i, i), (4000 + i, i))], "node long, component long")
+    assert vectors._audit(points, every, "<f4", 0.93) == 1.0
+
+
+def test_no_links_among_some_classes_is_no_evidence(spark, monkeypatch):
+    points = spark.createDataFrame([(i, 1, np.eye(60, dtype=np.float32)[i].tobytes(), 1) for i in range(60)], "id long, grp long, vec binary, n long")
+    named = spark.createDataFrame([], "node long, component long")
+    assert vectors._audit(points, named, "<f4", 0.93) == 1.0  # every class was asked
+    for name in ("AUDIT", "AUDIT_NEXT", "AUDIT_MOST"):
+        monkeypatch.setattr(vectors, name, 20)
+    assert vectors._audit(points, named, "<f4", 0.93) is None
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(vectors, "MAX_AUDITS", 1)
+    with pytest.raises(RuntimeError, match="0.500"):
+        result(spark, planted(1, n=60))
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
