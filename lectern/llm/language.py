@@ -2,7 +2,8 @@
 
 Evidence for each language, added as log odds and normalised to a posterior:
 * text: naive Bayes over hashed byte 3-grams of letters (``BUCKETS`` cells a language), fitted to at most ``TRAIN_ROWS``
-  texts with a declared language, chosen by a hash of the id; all of the text counts, at ``TEXT_WEIGHT`` nats a gram at most
+  texts with a declared language (one a language at least), chosen by a hash in each language; the languages are all
+  that some text of the table is declared in; all of the text counts, at ``TEXT_WEIGHT`` nats a gram at most
   (grams of one text depend on one another);
 * the declared markup language and the address suffix (a country's top-level domain or a language path part), each
   right with probability ``DECLARED_TRUST`` or ``SUFFIX_TRUST``; a missing or unknown one says nothing;
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_texts, materialize
@@ -115,11 +116,35 @@ def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     return out.select("host", smooth(vector("n"), F.col("above"), HOST_PRIOR).alias("prior"))
 
 
-def training_rows(rows: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``limit`` texts with a declared language, at most 20,000 characters of each."""
-    some = rows.where("declared is not null and text <> ''").select("id", "declared").orderBy(F.xxhash64("id"), "id").limit(limit)
-    chosen = F.broadcast(some.select("id").distinct())
-    return rows.join(chosen, "id", "left_semi").where("declared is not null").select("id", F.substring("text", 1, 20_000).alias("text"), "declared")
+def quotas(counts: dict[str, int], limit: int) -> dict[str, int]:
+    """Texts of each language to train on: all of the small languages, equal numbers of the others, one at least."""
+    out, left = {}, limit
+    for at, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - at)))
+        left -= out[lang]
+    return out
+
+
+def training_rows(rows: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """(text, language): at most ``limit`` texts, or one for each declared language if there are more languages, at most
+    20,000 characters of each.  The languages come from a grouped count over all rows."""
+    labelled = rows.where("declared is not null and text <> ''").select(F.xxhash64("id", "text").alias("h"), F.substring("text", 1, 20_000).alias("text"), "declared")
+    found = labelled.groupBy("declared").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # one row a language
+    counts = {r["declared"]: r["n"] for r in found}
+    quota = quotas(counts, limit)
+    # Somewhat more than the quota by the hash's share of its range, and always the least hash.
+    share = {lang: min(1.0, (q + 4 * q**0.5 + 4) / counts[lang]) for lang, q in quota.items()}
+    most = {lang: 2**63 - 1 if x == 1 else int((2 * x - 1) * 2**63) for lang, x in share.items()}
+    most = {r["declared"]: max(most[r["declared"]], r["least"]) for r in found}
+    if not most:
+        return []
+
+    def by_language(numbers: dict[str, int]) -> Column:
+        return F.create_map(*[c for lang, n in sorted(numbers.items()) for c in (F.lit(lang), F.lit(n).cast("long"))])[F.col("declared")]
+
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy("h", "text"))
+    chosen = labelled.where(F.col("h") <= by_language(most)).withColumn("rank", rank).where(F.col("rank") <= by_language(quota))
+    return sorted(((r["text"], r["declared"]) for r in chosen.select("text", "declared").collect()), key=lambda r: (r[1], r[0]))
 
 
 def identify(df: DataFrame, id_col: str, text: Column, declared: Column, url: Column, host: Column, model: TextModel | None = None, carry: bool = False) -> DataFrame:
@@ -138,7 +163,7 @@ def identify(df: DataFrame, id_col: str, text: Column, declared: Column, url: Co
     )
     kept_too = ["row"] if carry else []
     if model is None:
-        model = TextModel([(r["text"], r["declared"]) for r in sorted(training_rows(rows).collect(), key=lambda r: (r["id"] is None, r["id"]))])
+        model = TextModel(training_rows(rows))
     languages = model.languages
     if not languages:
         nothing = F.lit(None).cast("string")

@@ -72,3 +72,19 @@ def test_nulls_repeats_clashing_names_and_empty(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 3, 6]
     empty = spark.createDataFrame([], SCHEMA)
     assert language.identify_documents(empty).count() == 0 and language.accepted_documents(empty).columns == df.columns
+
+
+def test_a_rare_language_of_a_large_table_is_known(spark):
+    rows = [(i, f"the thing was there and number {i} too", "en") for i in range(9000)] + [(9000 + i, f"das ding war hier und nummer {i} auch", "de") for i in range(2)]
+    rows += [(None, "the thing", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("h"))
+    got = {r.doc_id: r.language for r in language.identify_documents(df).where("doc_id >= 8990").collect()}
+    assert got == {i: "de" if i >= 9000 else "en" for i in range(8990, 9002)}
+    sample = language.training_rows(df.selectExpr("doc_id as id", "text", "lang as declared"), 100)
+    assert len(sample) == 100 and sum(lang == "de" for _, lang in sample) == 2
+
+
+def test_quotas():
+    assert language.quotas({"a": 1, "b": 500, "c": 9000}, 100) == {"a": 1, "b": 49, "c": 50}
+    assert language.quotas({"a": 1, "b": 5}, 100) == {"a": 1, "b": 5}
+    assert language.quotas({"a": 3, "b": 5, "c": 7}, 2) == {"a": 1, "b": 1, "c": 1}
