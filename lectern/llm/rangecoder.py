@@ -1,284 +1,40 @@
-"""Adaptive context-mixing range coder for token ids, over many independent blocks at once.
+"""Adaptive context-mixing range coder for token ids, as two functions of the JVM (``RangeCoder.java``).
 
-A block starts from the same state and knows nothing of others, so numpy codes one id of every block (lane) at a time.
+A block starts from the same state and knows nothing of others.
 
-Prediction: order 2 (a hash of the last two ids) and order 1 (the last id) each remember an id with a confidence; the
-order-2 id is the candidate if there is one, else the order-1 id.  How likely the candidate is comes from mixing three
-adaptive probabilities in the logistic domain with weights learned online: by the order-2 confidence, by the order-1
-confidence and agreement, and by the candidate's class of order-0 frequency.  An id that isn't the candidate is coded by
-the order-0 frequencies of its bucket (single ids first, wider buckets further on) and its place in it.
+Prediction: order 2 (a hash of the last two ids) and order 1 (the last id) each remember an id with a confidence.  The
+first candidate is the order-2 id if there is one, else the order-1 id; the second is the order-1 id if it differs.  How
+likely the first is comes from mixing three adaptive chances in the logistic domain with weights learned online: by the
+order-2 confidence, by the order-1 confidence and agreement, and by the order-0 frequency of the candidate.  The second
+has a mixer of its own, over the two confidences and its frequency.  An id that is neither is coded by the block's
+order-0 frequencies, kept in a Fenwick tree.
 
-Coding: a carry-less range coder with 64-bit low and range and 16-bit words.  All arithmetic is on integers, so every
-machine decodes what any other encoded.
+Coding: a range coder with a 56-bit range that gives out 16 bits at a time and carries into what was given out.  All
+arithmetic is on integers, so every machine decodes what any other encoded.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal, getcontext
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-import numpy as np
+from lectern.llm import jvm
 
 #: Ids in a block.
-BLOCK = 4096
+BLOCK = 1 << 14
 #: Ids that can be coded.
 VOCABULARY = 1 << 16
-#: First id and width of the ranges of order-0 buckets.
-_RANGES = ((0, 1), (1024, 4), (4096, 64))
-_WIDEST = 6  # bits
-_TOTAL = 16  # bits of the order-0 frequencies
-_TABLE = 12  # bits of the order-1 and order-2 tables
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_LEAST_P = 64  # of 65536
-_MOST_WEIGHT = 150_000
-#: What one occurrence adds to an order-0 frequency.
-_STEP = 24
 
+_FUNCTIONS = {"lectern_range_encode": ("lectern.RangeEncoder", "binary"), "lectern_range_decode": ("lectern.RangeDecoder", "binary")}
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """squash: 4096 probabilities for -2048..2047 (in 1/256); stretch: its inverse.  Decimal is exact everywhere."""
-    getcontext().prec = 30
-    squash = np.array([int(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())) for x in range(-2048, 2048)], np.int32)
-    return np.clip(squash, 1, 4095), np.searchsorted(squash, np.arange(4096)).astype(np.int32) - 2048
 
+def encoded(spark: SparkSession, ids: Column) -> Column:
+    """A block's payload; ids: binary, little-endian 16-bit numbers.  Null gives null, no ids an empty payload."""
+    jvm.register(spark, "RangeCoder.java", _FUNCTIONS)
+    return F.call_udf("lectern_range_encode", ids)
 
-_SQUASH, _STRETCH = _tables()
-_STRETCH = np.clip(_STRETCH, -2047, 2047)
 
-_starts = [i for (first, width), (last, _) in zip(_RANGES, [*_RANGES[1:], (VOCABULARY, 0)], strict=True) for i in range(first, last, width)]
-_FIRST = np.array(_starts, np.int32)
-_BUCKETS = len(_FIRST)
-_WIDTH = np.diff(np.append(_FIRST, VOCABULARY)).astype(np.int32)
-_BUCKET_OF = np.repeat(np.arange(_BUCKETS, dtype=np.int32), _WIDTH)
-#: Frequencies before anything is seen: falling with the id, as ids of merges do.
-_PRIOR = (1 + (500 * _WIDTH) // (_FIRST + 600)).astype(np.int32)
-_LOG2 = np.array([x.bit_length() for x in range((1 << _TOTAL) + 1)], np.int32)
-
-
-class _Model:
-    """The predictions of all lanes; every method works on the first n lanes."""
-
-    def __init__(self, lanes: int):
-        self.t1 = np.zeros(lanes << _TABLE, np.int32)
-        self.t2 = np.zeros(lanes << _TABLE, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64) << _TABLE
-        self.lane8 = np.arange(lanes, dtype=np.int64) << 3
-        self.lane16 = self.lane8 << 1
-        self.lane32 = self.lane8 << 2
-        self.lane_b = np.arange(lanes, dtype=np.int64) * _BUCKETS
-        self.q2 = np.tile((np.arange(8, dtype=np.int32) * 8000 + 2000), lanes)
-        self.q1 = np.tile((np.arange(16, dtype=np.int32) // 2 * 6000 + 2000), lanes)
-        self.q0 = np.full(lanes << 5, 6000, np.int32)
-        self.w = [np.full(lanes, 24000, np.int32) for _ in range(3)]
-        self.h1 = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.h2 = np.zeros(lanes, np.int64)
-        self.counts = np.tile(_PRIOR, lanes)
-        self.refresh(lanes)
-
-    def refresh(self, n: int) -> None:
-        counts = self.counts[: n * _BUCKETS].reshape(n, _BUCKETS)
-        scale = (((1 << _TOTAL) - _BUCKETS) << 8) // counts.sum(axis=1, dtype=np.int64)
-        f = (counts * scale.astype(np.int32)[:, None] >> 8) + 1
-        self.cum = np.cumsum(f, axis=1, dtype=np.int32)
-        self.cum -= f
-        self.cum = self.cum.ravel()
-        self.f = f.ravel()
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(candidate, its probability out of 65536) of each lane."""
-        self.i1 = self.base[:n] + self.h1[:n]
-        self.i2 = self.base[:n] + self.h2[:n]
-        v1, v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.k1, self.k2 = v1 >> 16, v2 >> 16
-        self.e1, self.e2 = v1 & 0xFFFF, v2 & 0xFFFF
-        cand = np.where(self.k2 > 0, self.e2, self.e1)
-        self.j2 = self.lane8[:n] + self.k2
-        self.j1 = self.lane16[:n] + (self.k1 << 1) + (self.e1 == cand)
-        self.j0 = self.lane32[:n] + _LOG2.take(self.f.take(self.lane_b[:n] + _BUCKET_OF.take(cand)))
-        self.p2, self.p1, self.p0 = self.q2.take(self.j2), self.q1.take(self.j1), self.q0.take(self.j0)
-        self.s2, self.s1, self.s0 = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4), _STRETCH.take(self.p0 >> 4)
-        w2, w1, w0 = (w[:n] for w in self.w)
-        dot = (w2 * self.s2 + w1 * self.s1 + w0 * self.s0) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2048)
-        return cand, np.minimum(np.maximum(self.p << 4, _LEAST_P), 65536 - _LEAST_P)
-
-    def update(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        target = np.where(hit, 65535, 0).astype(np.int32)
-        self.q2[self.j2] = self.p2 + ((target - self.p2) >> 5)
-        self.q1[self.j1] = self.p1 + ((target - self.p1) >> 5)
-        self.q0[self.j0] = self.p0 + ((target - self.p0) >> 5)
-        error = ((target >> 4) - self.p) * 6
-        for w, s in zip(self.w, (self.s2, self.s1, self.s0), strict=True):
-            w[:n] += (s * error + 0x8000) >> 16
-        for table, at, e, k in ((self.t1, self.i1, self.e1, self.k1), (self.t2, self.i2, self.e2, self.k2)):
-            right = e | (np.minimum(k + 1, 7) << 16)
-            wrong = np.where(k > 1, e | ((k >> 1) << 16), ids | (1 << 16))
-            table[at] = np.where(e == ids, right, wrong)
-        wide = ids.astype(np.int64)
-        self.h2[:n] = ((self.last[:n] * 40503 + wide * 60493) >> 3) & ((1 << _TABLE) - 1)
-        self.h1[:n] = ((wide * 40503) >> 3) & ((1 << _TABLE) - 1)
-        self.last[:n] = wide
-
-    def seen(self, at: np.ndarray) -> None:
-        self.counts[at] += _STEP
-
-    def bound(self) -> None:
-        """Between two calls, 64 steps apart, a weight moves by less than 50,000; products then fit 32 bits."""
-        for w in self.w:
-            np.clip(w, -_MOST_WEIGHT, _MOST_WEIGHT, out=w)
-
-
-def _refresh_at(step: int) -> bool:
-    """Often at first, then less and less."""
-    return step in (32, 64, 96, 128, 192, 256, 384, 512, 768) or (step > 0 and step % 1024 == 0)
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """One payload for each block of 1 to BLOCK ids, all below VOCABULARY."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    lanes, steps = len(blocks), int(sizes[0]) if len(blocks) else 0
-    ids = np.zeros((steps, lanes), np.int32)
-    for lane, i in enumerate(order):
-        ids[: sizes[lane], lane] = blocks[i]
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    words = np.zeros((lanes, 3 * steps + 8), np.uint16)
-    width = words.shape[1]
-    flat = words.ravel()
-    at = np.arange(lanes, dtype=np.int64) * width
-    sixteen, sixtyfour = np.uint64(16), np.uint64(48)
-    n = lanes
-    for step in range(steps):
-        while sizes[n - 1] <= step:
-            n -= 1
-        if step % 64 == 0:
-            model.bound()
-        if _refresh_at(step):
-            model.refresh(n)
-        x = ids[step, :n]
-        cand, p = model.predict(n)
-        hit = cand == x
-        p = p.astype(np.uint64)
-        r = rng[:n] >> sixteen
-        split = r * p
-        low[:n] += np.where(hit, np.uint64(0), split)
-        rng[:n] = np.where(hit, split, r * (np.uint64(65536) - p))
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            y = x[rest]
-            bucket = _BUCKET_OF.take(y)
-            where = model.lane_b[rest] + bucket
-            f, c = model.f.take(where).astype(np.uint64), model.cum.take(where).astype(np.uint64)
-            unit = (np.uint64(1 << _WIDEST) // _WIDTH.take(bucket).astype(np.uint64)) * f
-            r = rng[rest] >> np.uint64(_TOTAL + _WIDEST)
-            low[rest] += r * ((c << np.uint64(_WIDEST)) + (y - _FIRST.take(bucket)).astype(np.uint64) * unit)
-            rng[rest] = r * unit
-            model.seen(where)
-        model.update(n, x, hit)
-        active = None
-        while True:
-            lo, ra = (low[:n], rng[:n]) if active is None else (low[active], rng[active])
-            settled = (lo ^ (lo + ra)) < _TOP
-            due = np.flatnonzero(settled | (ra < _BOTTOM))
-            if not len(due):
-                break
-            settled = settled[due]
-            lo, ra = lo[due], ra[due]
-            active = due if active is None else active[due]
-            if not settled.all():
-                ra = np.where(settled, ra, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            flat[at[active]] = (lo >> sixtyfour).astype(np.uint16)
-            at[active] += 1
-            low[active] = lo << sixteen
-            rng[active] = ra << sixteen
-    for shift in (48, 32, 16, 0):
-        flat[at] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-        at += 1
-    out: list[bytes] = [b""] * lanes
-    for lane, i in enumerate(order):
-        out[i] = words[lane, : at[lane] - lane * width].astype("<u2").tobytes()
-    return out
-
-
-def decode(payloads: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
-    """The blocks' ids (int32) from their payloads and numbers of ids."""
-    order = sorted(range(len(payloads)), key=lambda i: -sizes_in[i])
-    sizes = np.array([sizes_in[i] for i in order])
-    lanes, steps = len(payloads), int(sizes[0]) if len(payloads) else 0
-    width = max((len(p) for p in payloads), default=0) // 2 + 8
-    words = np.zeros((lanes, width), np.uint64)
-    for lane, i in enumerate(order):
-        got = np.frombuffer(payloads[i], "<u2")
-        words[lane, : len(got)] = got
-    flat = words.ravel()
-    at = np.arange(lanes, dtype=np.int64) * width
-    last = at + width - 1
-    sixteen = np.uint64(16)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << sixteen) | flat[at]
-        at += 1
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    ids = np.zeros((steps, lanes), np.int32)
-    n = lanes
-    for step in range(steps):
-        while sizes[n - 1] <= step:
-            n -= 1
-        if step % 64 == 0:
-            model.bound()
-        if _refresh_at(step):
-            model.refresh(n)
-        cand, p = model.predict(n)
-        p = p.astype(np.uint64)
-        r = rng[:n] >> sixteen
-        split = r * p
-        hit = (code[:n] - low[:n]) < split
-        low[:n] += np.where(hit, np.uint64(0), split)
-        rng[:n] = np.where(hit, split, r * (np.uint64(65536) - p))
-        x = cand.copy()
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            r = rng[rest] >> np.uint64(_TOTAL + _WIDEST)
-            off = np.minimum((code[rest] - low[rest]) // r, np.uint64((1 << (_TOTAL + _WIDEST)) - 1))
-            base, v = model.lane_b[rest], (off >> np.uint64(_WIDEST)).astype(np.int32)
-            bucket = np.zeros(len(rest), np.int64)
-            jump = 1 << (_BUCKETS.bit_length() - 1)
-            while jump:
-                to = bucket + jump
-                inside = to < _BUCKETS
-                ok = inside & (model.cum.take(base + np.where(inside, to, 0)) <= v)
-                bucket = np.where(ok, to, bucket)
-                jump >>= 1
-            where = base + bucket
-            f, c = model.f.take(where).astype(np.uint64), model.cum.take(where).astype(np.uint64)
-            wide = _WIDTH.take(bucket)
-            unit = (np.uint64(1 << _WIDEST) // wide.astype(np.uint64)) * f
-            place = np.minimum((off - (c << np.uint64(_WIDEST))) // unit, (wide - 1).astype(np.uint64))
-            x[rest] = _FIRST.take(bucket) + place.astype(np.int32)
-            low[rest] += r * ((c << np.uint64(_WIDEST)) + place * unit)
-            rng[rest] = r * unit
-            model.seen(where)
-        ids[step, :n] = x
-        model.update(n, x, hit)
-        active = None
-        while True:
-            lo, ra = (low[:n], rng[:n]) if active is None else (low[active], rng[active])
-            settled = (lo ^ (lo + ra)) < _TOP
-            due = np.flatnonzero(settled | (ra < _BOTTOM))
-            if not len(due):
-                break
-            settled = settled[due]
-            lo, ra = lo[due], ra[due]
-            active = due if active is None else active[due]
-            if not settled.all():
-                ra = np.where(settled, ra, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            code[active] = (code[active] << sixteen) | flat[np.minimum(at[active], last[active])]
-            at[active] += 1
-            low[active] = lo << sixteen
-            rng[active] = ra << sixteen
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
-    for lane, i in enumerate(order):
-        out[i] = ids[: sizes[lane], lane].copy()
-    return out
+def decoded(spark: SparkSession, payload: Column, n_ids: Column) -> Column:
+    """A block's ids as little-endian 32-bit numbers.  A damaged payload gives wrong ids, but ends."""
+    jvm.register(spark, "RangeCoder.java", _FUNCTIONS)
+    return F.call_udf("lectern_range_decode", payload, n_ids)

@@ -1,21 +1,28 @@
 """Token ids of whole documents as files of independently coded, checksummed blocks.
 
-Writing: documents in ascending id order (null first; repeated ids by text) are tokenized, an end id is appended to
-each, and every partition's stream of ids is cut into blocks of ``rangecoder.BLOCK`` ids.  A file is a Parquet table in
-the shared folder with one row for each block: part, block, n_ids, the ordinal of its first document in the part, the
-ids and numbers of token ids of the documents in it, whether its first document began earlier and its last goes on,
-crc32 of the block's ids as little-endian 32-bit numbers, and the range coder's payload.  Parts are in document order.
+Writing: documents in ascending id order (null first; repeated ids by their texts' hash) are tokenized, an end id is
+appended to each, and every partition's stream of ids is cut into blocks of ``rangecoder.BLOCK`` ids.  A file is a
+Parquet table in the shared folder with one row for each block: part, block, n_ids, the ordinal of its first document in
+the part, the ids, starts and numbers of token ids of the documents in it, whether its first document began earlier and
+its last goes on, crc32 of the block's ids as little-endian 32-bit numbers, and the range coder's payload.  Parts are in
+document order.
 
 Reading decodes any rows alone, checks every block's crc32 and returns one piece for each document in each block;
 pieces are put together by adding lengths and combining crc32 sums, so no document's ids are gathered in one place.
 
-Tokenizing keeps a bounded memo of words between spaces, line breaks and tabs, at which this tokenizer always cuts.
-Null and empty texts have the end id only.  Repeated rows are documents of their own; an empty table gives no blocks.
+Python only tokenizes, with a bounded memo of words between spaces, line breaks and tabs, at which this tokenizer always
+cuts.  Coding, decoding and checksums run in the JVM.
+
+Null and empty texts have the end id only.  Rows that repeat an id or a whole row are documents of their own; those of
+one id are dealt by their text's hash, so they don't meet in one task.  A very long text runs through many blocks.  Only
+the two named columns are read, so other columns may have any name.  An empty table gives no blocks.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +37,13 @@ from lectern.llm import rangecoder
 from lectern.llm.common import id_and_text, save
 
 END_ID = 1
-#: Blocks coded at once.
-LANES = 1536
+#: Blocks handed over at once.
+BLOCKS_AT_ONCE = 16
 #: Words in each of a worker's two memo generations.
-MEMO = 400_000
+MEMO = 900_000
+#: Words that are tokenized in one call.
+WORDS_AT_ONCE = 512
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -54,28 +64,85 @@ class Words:
             raise ValueError("ids must be below 65536")
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)", re.IGNORECASE)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Tokens that end a word, if this tokenizer marks them.
+        self.ends = np.array([name.endswith(suffix) for name in names]) if suffix else None
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u2").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, which this tokenizer never cuts, in one call; by one call a word if that fails."""
+        if self.ends is None:
+            return self._alone(words)
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(stops) != len(some) or stops[-1] != 2 * len(ids):
+                out += self._alone(some)
+                continue
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        return out
 
     def _learn(self, words: set[str]) -> None:
-        """Puts the ids of words into the memo; a lower-case word and a final mark after a letter are looked up alone."""
-        parts = {}
+        """Puts the ids of words into the memo.  Letters and a run of ASCII marks after them are looked up alone, since
+        the tokenizer cuts between them; any other word, and one with a special string, as it is written."""
+        young, old = self.young, self.old
+        letters, whole, cut = set(), set(), []
         for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = w if w.isalpha() else w.rstrip(_MARKS)
+            if not core.isalpha():
+                whole.add(w)
                 continue
-            plain = w.lower() if w.isascii() else w
-            mark = plain[-1] if len(plain) > 1 and plain[-1] in ".," and plain[-2].isascii() and plain[-2].isalpha() else ""
-            parts[w] = (plain[: len(plain) - len(mark)], mark)
-        need = list({p for pair in parts.values() for p in pair if p and p not in self.young})
-        for w, found in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(found.ids, "<u2").tobytes()
-        for w, (plain, mark) in parts.items():
-            self.young[w] = self.young[plain] + self.young[mark]
+            plain = core.lower() if core.isascii() else core
+            if plain not in young:
+                letters.add(plain)
+            if plain is not w and plain != w:
+                mark = w[len(core) :]
+                if mark not in young:
+                    whole.add(mark)
+                cut.append((w, plain, mark))
+        for found, ids in ((letters, self._together), (whole, self._alone)):
+            some = list(found)
+            young.update(zip(some, ids(some), strict=True))
+        for w, plain, mark in cut:
+            young[w] = young[plain] + young[mark]
+
+    def _folded(self, text: str) -> str:
+        """In lower case, as the tokenizer has it anyway, where that is surely the same: without special strings, which it
+        takes as they are written, and in Latin-1, where no letter's lower case depends on others."""
+        if "<" in text and self.special.search(text):
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here forms cycles, and the memo is large
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._folded(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.young) > MEMO:
             self.young, self.old = {"": b""}, self.young
-        if missing := {w for words in split for w in words if w not in self.young}:
+        if missing := set().union(*split).difference(self.young):
             self._learn(missing)
         get = self.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -86,8 +153,9 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-FILE = "part int, block long, n_ids int, first_doc long, doc_ids array<long>, doc_sizes array<int>, begun boolean, goes_on boolean, ids_crc32 long, payload binary"
-_ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32())), ("begun", pa.bool_()), ("goes_on", pa.bool_()), ("ids_crc32", pa.int64()), ("payload", pa.binary())])
+FILE = "part int, block long, n_ids int, first_doc long, doc_ids array<long>, doc_starts array<int>, doc_sizes array<int>, begun boolean, goes_on boolean, ids_crc32 long, payload binary"
+_CUT = FILE.replace("payload", "ids")
+_ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("doc_sizes", pa.list_(pa.int32())), ("begun", pa.bool_()), ("goes_on", pa.bool_()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
 class _Cutter:
@@ -95,18 +163,19 @@ class _Cutter:
 
     def __init__(self, part: int):
         self.part, self.block, self.doc = part, 0, 0
-        self.ready: list[tuple[dict, np.ndarray]] = []
+        self.ready: list[dict] = []
         self._start(False)
 
     def _start(self, begun: bool) -> None:
         self.ids: list[np.ndarray] = []
         self.room = rangecoder.BLOCK
-        self.row = {"part": self.part, "block": self.block, "first_doc": self.doc, "doc_ids": [], "doc_sizes": [], "begun": begun}
+        self.row = {"part": self.part, "block": self.block, "first_doc": self.doc, "doc_ids": [], "doc_starts": [], "doc_sizes": [], "begun": begun}
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         at = 0
         while at < len(ids):
             piece = ids[at : at + self.room]
+            self.row["doc_starts"].append(rangecoder.BLOCK - self.room)
             at += len(piece)
             self.room -= len(piece)
             self.ids.append(piece)
@@ -120,7 +189,7 @@ class _Cutter:
 
     def _close(self, goes_on: bool) -> None:
         ids = np.concatenate(self.ids)
-        self.ready.append((self.row | {"n_ids": len(ids), "goes_on": goes_on, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}, ids))
+        self.ready.append(self.row | {"n_ids": len(ids), "goes_on": goes_on, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "ids": ids.tobytes()})
         self.block += 1
         self._start(goes_on)
 
@@ -128,10 +197,8 @@ class _Cutter:
         if self.ids:
             self._close(False)
 
-    def coded(self) -> pa.RecordBatch:
-        payloads = rangecoder.encode([ids for _, ids in self.ready])
-        rows = [row | {"payload": payload} for (row, _), payload in zip(self.ready, payloads, strict=True)]
-        self.ready = []
+    def taken(self) -> pa.RecordBatch:
+        rows, self.ready = self.ready, []
         return pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
 
@@ -147,14 +214,17 @@ def write_file(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
                 part = batch.slice(at, 256)
                 for doc_id, ids in zip(part.column(0).to_pylist(), words(path).encode(part.column(1).to_pylist()), strict=True):
                     cutter.add(doc_id, np.frombuffer(ids + end, "<u2"))
-                if len(cutter.ready) >= LANES:
-                    yield cutter.coded()
+                if len(cutter.ready) >= BLOCKS_AT_ONCE:
+                    yield cutter.taken()
         cutter.finish()
         if cutter.ready:
-            yield cutter.coded()
+            yield cutter.taken()
 
-    ordered = id_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(run, FILE), "token-blocks")
+    keyed = id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    cut = ordered.mapInArrow(run, _CUT)
+    coded = cut.withColumn("payload", rangecoder.encoded(df.sparkSession, F.col("ids")))
+    return save(coded.drop("ids"), "token-blocks")
 
 
 _POLYNOMIAL = 0xEDB88320
@@ -190,34 +260,23 @@ def crc32_combine(first: int, second: int, size: int) -> int:
     return first ^ second
 
 
-def read_pieces(blocks: DataFrame) -> DataFrame:
-    """(part, doc, block, doc_id, start, n, ids_crc32): each document's piece of each block; start counts within the
-    part.  A block whose ids don't match its checksum is an error."""
-
-    def pieces(rows: list[dict]) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("part", "doc", "block", "doc_id", "start", "n", "ids_crc32")}
-        for row, ids in zip(rows, rangecoder.decode([r["payload"] for r in rows], [r["n_ids"] for r in rows]), strict=True):
-            raw = ids.astype("<u4").tobytes()
-            if zlib.crc32(raw) != row["ids_crc32"] or sum(row["doc_sizes"]) != row["n_ids"]:
-                raise ValueError(f"block {row['block']} of part {row['part']} is damaged")
-            at = 0
-            for i, (doc_id, n) in enumerate(zip(row["doc_ids"], row["doc_sizes"], strict=True)):
-                for key, value in zip(out, (row["part"], row["first_doc"] + i, row["block"], doc_id, row["block"] * rangecoder.BLOCK + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])), strict=True):
-                    out[key].append(value)
-                at += n
-        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "part" else pa.int64()) for k, v in out.items()})
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``ids``, little-endian 32-bit numbers, for their payload.  A block whose ids don't match its
+    checksum is an error."""
+    ids = rangecoder.decoded(blocks.sparkSession, F.col("payload"), F.col("n_ids"))
+    what = F.concat(F.lit("block "), F.col("block").cast("string"), F.lit(" of part "), F.col("part").cast("string"), F.lit(" is damaged"))
+    whole = F.when(F.crc32("ids") == F.col("ids_crc32"), F.col("ids")).otherwise(F.raise_error(what))
+    return blocks.withColumn("ids", ids).withColumn("ids", whole).drop("payload")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            held += batch.to_pylist()
-            while len(held) >= LANES:
-                yield pieces(held[:LANES])
-                held = held[LANES:]
-        if held:
-            yield pieces(held)
 
-    return blocks.mapInArrow(run, "part int, doc long, block long, doc_id long, start long, n long, ids_crc32 long")
+def read_pieces(blocks: DataFrame) -> DataFrame:
+    """(part, doc, block, doc_id, start, n, ids_crc32): each document's piece of each block; start counts within the
+    part."""
+    placed = F.arrays_zip("doc_ids", "doc_starts", "doc_sizes")
+    each = read_blocks(blocks).select("part", "block", "first_doc", "ids", F.posexplode(placed).alias("i", "d"))
+    crc = F.crc32(F.substring("ids", 4 * F.col("d.doc_starts") + 1, 4 * F.col("d.doc_sizes")))
+    start = F.col("block") * rangecoder.BLOCK + F.col("d.doc_starts")
+    return each.select("part", (F.col("first_doc") + F.col("i")).alias("doc"), "block", F.col("d.doc_ids").alias("doc_id"), start.alias("start"), F.col("d.doc_sizes").cast("long").alias("n"), crc.alias("ids_crc32"))
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
@@ -248,9 +307,7 @@ def read_ids(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, LANES):
-                rows = batch.slice(at, LANES)
-                ids = rangecoder.decode(rows.column(2).to_pylist(), rows.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["part", "block", "ids"])
+            ids = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["part", "block", "ids"])
 
-    return blocks.select("part", "block", "payload", "n_ids").mapInArrow(run, "part int, block long, ids array<int>")
+    return read_blocks(blocks).select("part", "block", "ids").mapInArrow(run, "part int, block long, ids array<int>")
