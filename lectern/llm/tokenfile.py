@@ -40,9 +40,10 @@ END_ID = 1
 #: Blocks handed over at once.
 BLOCKS_AT_ONCE = 16
 #: Words in each of a worker's two memo generations.
-MEMO = 900_000
+MEMO = 400_000
 #: Words that are tokenized in one call.
 WORDS_AT_ONCE = 512
+_MARKED_STOP = re.compile(r"[^a-z0-9\xdf-\xf6\xf8-\xff\s][.,] ")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -117,9 +118,12 @@ class Words:
         for w, plain, mark in cut:
             young[w] = young[plain] + young[mark]
 
-    def _folded(self, text: str) -> str:
-        """In lower case, as the tokenizer has it anyway, where that is surely the same: without special strings, which it
-        takes as they are written, and in Latin-1, where no letter's lower case depends on others."""
+    def _spaced(self, text: str) -> str:
+        """The text with spaces between its words.  Where that surely changes no id, in lower case, as the tokenizer has it
+        anyway, and with a space before commas and full stops, so that the memo sees fewer different words.  Sure are
+        texts without special strings, which the tokenizer takes as they are written, in Latin-1, where no letter's lower
+        case depends on others; a comma or full stop after another mark must stay with it."""
+        text = text.replace("\n", " ").replace("\t", " ")
         if "<" in text and self.special.search(text):
             return text
         if not text.isascii():
@@ -127,7 +131,8 @@ class Words:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return text
-        return text.lower()
+        text = text.lower()
+        return text if _MARKED_STOP.search(text) else text.replace(". ", " . ").replace(", ", " , ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         collects = gc.isenabled()
@@ -139,7 +144,7 @@ class Words:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._folded(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [self._spaced(t).split(" ") for t in texts]
         if len(self.young) > MEMO:
             self.young, self.old = {"": b""}, self.young
         if missing := set().union(*split).difference(self.young):
