@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from lectern.llm import jvm
 
 #: Ids in a block.
-BLOCK = 1 << 14
+BLOCK = 1 << 15
 #: Ids that can be coded.
 VOCABULARY = 1 << 16
 
-_FUNCTIONS = {"lectern_range_encode": ("lectern.RangeEncoder", "binary"), "lectern_range_decode": ("lectern.RangeDecoder", "binary")}
+_FUNCTIONS = {"lectern_range_encode": ("lectern.RangeEncoder", "binary"), "lectern_range_decode": ("lectern.RangeDecoder", "binary"), "lectern_crc32_join": ("lectern.Crc32Joiner", "long")}
 
 
 def encoded(spark: SparkSession, ids: Column) -> Column:
@@ -38,3 +38,9 @@ def decoded(spark: SparkSession, payload: Column, n_ids: Column) -> Column:
     """A block's ids as little-endian 32-bit numbers.  A damaged payload gives wrong ids, but ends."""
     jvm.register(spark, "RangeCoder.java", _FUNCTIONS)
     return F.call_udf("lectern_range_decode", payload, n_ids)
+
+
+def joined_crc32(spark: SparkSession, sums: Column, sizes: Column) -> Column:
+    """crc32 of byte strings one after another from theirs and their sizes, two arrays in order."""
+    jvm.register(spark, "RangeCoder.java", _FUNCTIONS)
+    return F.call_udf("lectern_crc32_join", sums, sizes)
