@@ -5,12 +5,18 @@ email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip, four numbers w
 12 to 19 digits that pass Luhn's test; phone, a plus sign and 9 to 15 digits.
 
 Deobfuscation: transducers rewrite the text piece by piece and carry each output character's source interval along:
-(1) look-alike letters, full-width forms, foreign digits and dashes to ASCII, invisible characters to nothing;
-(2) ``[at]``, ``(dot)`` and the like, or spaced ``at`` ... ``dot``, to ``@`` and ``.``; (3) runs of seven or more
-spelled digits to digits, a leading ``plus`` to ``+``.  Detectors run on the result; spans that are new are mapped back
-and added unless a span of their kind holds them.  Each transducer runs only where a cheap test finds its trigger.
-
-Null text is empty.  Repeated rows, null ids and other columns change nothing; long texts take linear time.
+(1) look-alike letters, full-width and enclosed forms, the decimal digits of any script and dashes to ASCII, invisible
+characters to nothing; (2) ``[at]``, ``(dot)`` and the like to ``@`` and ``.``; spaced ``at`` ... ``dot`` where they make
+an address; ``dot`` between four numbers, in digits or spelled; (3) runs of seven or more spelled digits to digits, a
+leading ``plus`` to ``+``.  Detectors run on the result; spans that are new are mapped back and added unless a span of
+their kind holds them.  Each transducer runs only where a cheap test finds its trigger.
+
+A spelled address may have any number of dots and labels of any length.  Its last label has two or three letters or is
+in ``_TOP``, is none of the prepositions in ``_GOES_ON``, and its host doesn't begin with a word of ``_POINTING`` ("look at
+the dot in the middle").
+
+Null text is empty; an empty table gives an empty result.  Repeated rows, null ids and other columns, whatever their
+names, change nothing.  Time grows with the text's length and its number of matches, never with their product.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable
 from itertools import pairwise
 
@@ -105,7 +112,8 @@ class Mapped:
         return Mapped("".join(parts), starts + self.starts[at:], ends + self.ends[at:])
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        """Both bounds grow along the text."""
+        return self.starts[start], self.ends[end - 1]
 
 
 #: Letters that look like ASCII ones: Cyrillic, then Greek.
@@ -114,8 +122,10 @@ _DASHES = dict.fromkeys("‐‑‒–—―−﹣－", "-")
 _INVISIBLE = dict.fromkeys("­​‌‍‎‏⁠﻿", "")
 _SPACES = dict.fromkeys("              　", " ")
 _TABLE = _LOOK | _DASHES | _INVISIBLE | _SPACES
-#: One pass over the text tells whether any character may change: the tables' blocks, foreign digits, wide forms.
-_ODD = re.compile("[ ­Ͱ-ԯ٠-٩۰-۹०-९ -‏‐-―  ⁠−　。﹣！-～｡﻿\U0001d400-\U0001d7ff]")
+#: Decimal digits of scripts other than ASCII.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd")
+#: One pass over the text tells whether any character may change: the tables' own, foreign digits, wide and enclosed forms.
+_ODD = re.compile("[" + re.escape("".join(_TABLE) + _DIGITS) + "\u3002\uff61\uff01-\uff5e\u24b6-\u24e9\U0001d400-\U0001d7ff]")
 
 
 def _plain(c: str) -> str:
@@ -138,29 +148,57 @@ _AT = r"(?:at|arroba|arobase|chez|ät|@)"
 _DOT = r"(?:dot|punkt|point|punto|\.)"
 _OPEN, _CLOSE = r"[ ]{0,3}[\[({<][ ]{0,3}", r"[ ]{0,3}[\])}>][ ]{0,3}"
 _FENCED = re.compile(rf"{_OPEN}(?:(?P<at>{_AT})|(?P<dot>{_DOT})){_CLOSE}", re.IGNORECASE)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+@-])(?P<local>[A-Za-z0-9_%+-]{1,64}(?:(?:\.| {1,3}(?:dot|punkt|point|punto) {1,3})[A-Za-z0-9_%+-]{1,64}){0,4})(?P<at> {1,3}(?:at|arroba|arobase) {1,3}|@)(?P<host>[A-Za-z0-9-]{1,63}(?:(?:\.| {1,3}(?:dot|punkt|point|punto) {1,3})[A-Za-z0-9-]{1,63}){1,5})", re.IGNORECASE)
+_SAID_DOT = r" {1,3}(?:dot|punkt|point|punto) {1,3}"
+_SPOKEN_AT = re.compile(r" {1,3}(at|arroba|arobase) {1,3}|@", re.IGNORECASE)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_SAID_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: The part before the at, read backwards.
+_BEFORE = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.| {1,3}(?:tod|tknup|tniop|otnup) {1,3})[A-Za-z0-9_%+-]+)*(?![A-Za-z0-9._%+@-])", re.IGNORECASE)
 _SPOKEN_DOT = re.compile(r" +(?:dot|punkt|point|punto) +", re.IGNORECASE)
 #: Which spelled dots go with which spelled at.
 _SAID_WITH = {"at": {"dot", "punkt"}, "arobase": {"dot", "point"}, "arroba": {"dot", "punto"}, "@": {"dot", "punkt", "point", "punto"}}
-#: Last labels of hosts that count with spelled dots; those that are common words too are left out.
-_TOP = frozenset("com org net edu gov mil info biz io co uk de fr es nl eu ca au ch se dk pl ru br jp cn mx ar cl app dev ai example test invalid".split())
+#: Last labels of more than three letters that count with spelled dots.
+_TOP = frozenset("aero arpa asia blog club cloud coop design email example group help host info invalid jobs life link live local localhost media mobi museum name network news online page post shop site social space store studio team tech test today travel video website wiki work world zone".split())
+#: Last labels with which a sentence goes on after the word dot.
+_GOES_ON = frozenset("in at on of to as is by or if so we he up an and the for but was are can has had who she you its his her our one two".split())
+#: Host labels after which dot is a plain word.
+_POINTING = frozenset("the a an this that each every one any some which no his her its my your our their red blue black white green small big tiny last first".split())
 _DOT_WORDS = (" dot ", " punkt ", " point ", " punto ")
 
 
+def _spoken_addresses(text: str) -> list[tuple[int, int, str]]:
+    """From each at outward, by spelled dots; the edits that turn an address into an ordinary one."""
+    edits: list[tuple[int, int, str]] = []
+    back, free = text[::-1], 0
+    for m in _SPOKEN_AT.finditer(text):
+        if not (host := _HOST.match(text, m.end())) or not (before := _BEFORE.match(back, len(text) - m.start(), len(text) - free)):
+            continue
+        start, at = len(text) - before.end(), (m[1] or "@").lower()
+        dots = [*_SPOKEN_DOT.finditer(text, start, m.start()), *_SPOKEN_DOT.finditer(text, *host.span())]
+        labels = re.split(r"[ .]+", host[0].lower())
+        top = labels[-1]
+        fits = top.isalpha() and (2 <= len(top) <= 3 or top in _TOP) and top not in _GOES_ON and labels[0] not in _POINTING
+        if dots and fits and {d[0].strip().lower() for d in dots} <= _SAID_WITH[at]:
+            edits += [(*d.span(), ".") for d in dots]
+            edits.append((*m.span(), "@"))
+            free = host.end()
+    return sorted(edits)
+
+
 def at_and_dot(text: Mapped) -> Mapped:
     if any(c in text.text for c in "[({<"):
         edits = [(*m.span(), "@" if m["at"] else ".") for m in _FENCED.finditer(text.text)]
         text = text.rewrite(edits) if edits else text
     lower = text.text.lower()
     if any(w in lower for w in _DOT_WORDS):  # a spaced "at" counts only with a spelled dot, as words of a sentence do not
+        if edits := _spoken_addresses(text.text):
+            text = text.rewrite(edits)
         edits = []
-        for m in _SPOKEN.finditer(text.text):
-            said = {d[0].strip().lower() for d in _SPOKEN_DOT.finditer(m[0])}
-            top = re.split(r"[ .]+", m["host"])[-1].lower()
-            if said and said <= _SAID_WITH[m["at"].strip().lower()] and top in _TOP:
-                edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text.text, *m.span("local"))]
-                edits.append((*m.span("at"), "@"))
-                edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text.text, *m.span("host"))]
+        for m in _SPOKEN_IP.finditer(text.text):
+            numbers = [*_NUMBER.finditer(text.text, *m.span())]
+            for a, b in pairwise([*numbers, None]):
+                edits.append((*a.span(), "".join(_NAMES.get(d.lower(), d) for d in _ONE.findall(a[0]))))
+                if b:
+                    edits.append((a.end(), b.start(), "."))
         text = text.rewrite(edits) if edits else text
     return text
 
@@ -178,8 +216,12 @@ _NAMES = {
 } | {"oh": "0", "zwo": "2"}
 _LEAST_SPELLED = 7
 _WORD = "|".join(sorted(_NAMES, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:(?P<plus>plus|\+)[ -]{{0,3}})?(?:(?:{_WORD}|[0-9])(?:[ .,/-]{{1,3}}|(?<=[0-9]))){{{_LEAST_SPELLED - 1},40}}(?:{_WORD}|[0-9])(?![\w])", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<!\w)(?:(?P<plus>plus|\+)[ -]{{0,3}})?(?:(?:{_WORD}|[0-9])(?:[ .,/-]{{1,3}}|(?<=[0-9]))){{{_LEAST_SPELLED - 1},}}(?:{_WORD}|[0-9])(?![\w])", re.IGNORECASE)
 _ONE = re.compile(rf"plus|{_WORD}|[0-9+]", re.IGNORECASE)
+#: A number of an address in digits or spelled digit by digit, and four of them with spelled dots.
+_PART = rf"(?:[0-9]+|(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}})"
+_NUMBER = re.compile(_PART, re.IGNORECASE)
+_SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?:{_SAID_DOT}{_PART}){{3}}(?!\w)", re.IGNORECASE)
 _GAPS = str.maketrans(".,/-", "    ")
 
 
@@ -195,12 +237,10 @@ def spelled_digits(text: Mapped) -> Mapped:
     for m in _SPELLED.finditer(text.text):
         if sum(c.isdigit() for c in m[0]) > len(m[0]) // 3:
             continue  # digits as such: the base detectors see them
-        for part in _ONE.finditer(text.text, *m.span()):
-            edits.append((*part.span(), "+" if part[0].lower() in ("plus", "+") else _NAMES.get(part[0].lower(), part[0])))
-        for a, b in pairwise([e for e in edits if e[0] >= m.start()]):
-            if b[0] > a[1]:
-                edits.append((a[1], b[0], "" if a[2] == "+" else " "))
-    return text.rewrite(sorted(edits)) if edits else text
+        digits = [(*part.span(), "+" if part[0].lower() in ("plus", "+") else _NAMES.get(part[0].lower(), part[0])) for part in _ONE.finditer(text.text, *m.span())]
+        gaps = [(a[1], b[0], "" if a[2] == "+" else " ") for a, b in pairwise(digits) if b[0] > a[1]]
+        edits += sorted(digits + gaps)
+    return text.rewrite(edits) if edits else text
 
 
 def deobfuscate(text: str) -> Mapped | None:
@@ -232,11 +272,14 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     out = deobfuscate(text)
     if out is None:
         return base, base
+    known = {kind: [s for s in base if s[2] == kind] for kind in KINDS}
+    reach = dict.fromkeys(KINDS, -1)
     added: list[Span] = []
-    for start, end, kind in detect(out.text) + _spoken_phones(out):
-        a, b = out.source(start, end)
-        if not any(k == kind and x <= a and b <= y for x, y, k in base + added):
+    for a, b, kind in sorted(((*out.source(start, end), kind) for start, end, kind in detect(out.text) + _spoken_phones(out)), key=lambda s: (s[0], -s[1])):
+        at = bisect_right(known[kind], a, key=lambda s: s[0]) - 1  # those of a kind don't overlap
+        if b > reach[kind] and not (at >= 0 and b <= known[kind][at][1]):
             added.append((a, b, kind))
+            reach[kind] = b
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
