@@ -1,4 +1,9 @@
 import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lectern.llm import licenses
 
@@ -28,17 +33,67 @@ def labels(text):
 
 
 def test_rules():
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 250 and len({r.pattern for r in licenses.rules()}) == len(licenses.rules())
     assert labels("Licensed under the Apache License, Version 2.0.") == "apache-2.0"
     assert labels("Released under the MIT License.") == "mit"
+    assert labels("Licensed under MIT.") == "mit"
     assert labels("This work is licensed under the GNU General Public License, version 3.") == "gpl,gpl-3.0"
     assert labels("Licensed under CC BY-NC 4.0.") == "cc-by,cc-by-nc"
-    assert labels("SPDX-License-Identifier: LGPL-2.1-or-later") == "lgpl-2.1"
     assert labels("GNU Lesser\nGeneral Public License v2.1") == "gpl,lgpl-2.1"
     assert labels("Copyright (c) 2021 Someone. ALL RIGHTS RESERVED") == "copyright,reserved"
+    assert labels("See https://www.apache.org/licenses/LICENSE-2.0 for more") == "apache-2.0"
+    assert labels("https://creativecommons.org/licenses/by-sa/4.0/") == "cc-by-sa"
     assert labels("a plain text about bsdx and licenses") == ""
 
 
+@pytest.mark.parametrize("text", ["GPLv3", "GPL-3.0-or-later", "gpl 3", "under the GPL v3", "GNU GPL version 3", "SPDX-License-Identifier: GPL-3.0+", "gnu.org/licenses/gpl-3.0.html"])
+def test_one_label_for_each_license(text):
+    assert labels(text) == "gpl-3.0"
+
+
+def test_bare_names_and_expressions():
+    assert labels("Apache-2.0") == "apache-2.0" and labels("the GPL") == "gpl"
+    assert labels("SPDX-License-Identifier: LGPL-2.1-or-later") == "lgpl-2.1"
+    assert labels("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause and more") == "apache-2.0,bsd-3-clause,mit"
+    assert labels("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0") == "gpl-2.0,gpl-exception"
+    assert labels("SPDX-License-Identifier: nothing known") == "" and labels("spdx license identifier") == ""
+
+
+def test_keywords():
+    assert licenses.keyword_of(r"(?:3|three) clause bsd(?: LIC)?") == " clause bsd"
+    assert licenses.keyword_of(r"beer ?ware licen[cs]e") == "ware licen"
+
+
+def plain_detections(flat):
+    """Matches by rank; one inside a kept one goes."""
+    found = [(*m.span(), r) for r in licenses.rules() for m in r.pattern.finditer(flat)] + licenses.tags(flat)
+    kept = []
+    for a, b, r in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0])):
+        if not any(x <= a and b <= y for x, y, _ in kept):
+            kept.append((a, b, r))
+    return sorted((a, b, r.priority) for a, b, r in kept)
+
+
+PIECES = "licensed under the gnu general public license version 3 2 lesser cc by nc sa 4 0 mit apache bsd clause or and spdx identifier all rights reserved copyright 2020 no warranty public domain".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40))
+def test_detections_against_brute_force(words):
+    flat, _ = licenses.normalise(" ".join(words))
+    assert [(a, b, r.priority) for a, b, r in licenses.detections(flat)] == plain_detections(flat)
+
+
+@pytest.mark.parametrize("piece", ["cc by word ", "mit license ", "spdx license identifier mit or ", "all rights reserved ", "permission is hereby granted "])
+def test_time_is_linear_in_matches(piece):
+    took = []
+    for n in (5000, 20000):
+        start = time.process_time()
+        licenses.scan(piece * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 9 * took[0] + 0.2
+
+
 def samples(pattern):
     """The shortest and the longest text of a pattern without unbounded parts."""
     from re import _constants as C
@@ -69,19 +124,19 @@ def samples(pattern):
 
 
 def test_prefilter_loses_no_match():
-    """Texts that a rule matches hold its keyword and an anchor."""
+    """Texts that a rule matches hold its keyword."""
     for rule in licenses.rules():
+        assert len(rule.keyword) > 2, rule
         for text in samples(rule.pattern.pattern):
             flat = b" " + text + b" "
             assert rule.pattern.search(flat), (rule, text)
             assert rule.keyword in flat, (rule, text)
-            assert any(a in flat for a in licenses.ANCHORS), (rule, text)
 
 
 def test_containment_and_priority():
     flat, _ = licenses.normalise("licensed under the gnu general public license version 3 or gnu general public license")
     kept = licenses.detections(flat)
-    assert [(r.label, r.priority) for _, _, r in kept] == [("gpl-3.0", 4), ("gpl", 2)]
+    assert [(r.label, r.priority) for _, _, r in kept] == [("gpl-3.0", 3), ("gpl", 2)]
 
 
 def test_nulls_repeats_long_texts_and_empty_table(spark):
