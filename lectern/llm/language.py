@@ -2,17 +2,20 @@
 
 Evidence for each language, added as log odds and normalised to a posterior:
 * text: naive Bayes over hashed byte 3-grams of letters (``BUCKETS`` cells a language), fitted to at most ``TRAIN_ROWS``
-  texts with a declared language (one a language at least), chosen by a hash in each language; the languages are all
-  that some text of the table is declared in; all of the text counts, at ``TEXT_WEIGHT`` nats a gram at most
-  (grams of one text depend on one another);
+  rows with a declared language (one a language at least), chosen by a hash in each language and counted whole, on the
+  executors; the languages are all that some text of the table is declared in; all of the text counts, at
+  ``TEXT_WEIGHT`` nats a gram at most (grams of one text depend on one another);
 * the declared markup language and the address suffix (a country's top-level domain or a language path part), each
   right with probability ``DECLARED_TRUST`` or ``SUFFIX_TRUST``; a missing or unknown one says nothing;
 * the host: its counts of declared languages, smoothed towards its parent domain's, those towards the whole corpus's,
   made by grouped aggregation over all rows (each level a sum of partial counts, so a host with a third of the rows is no
-  hot spot) with ``HOST_PRIOR`` and ``PARENT_PRIOR`` pseudo-counts.
+  hot spot) with ``HOST_PRIOR`` and ``PARENT_PRIOR`` pseudo-counts; a row's own declaration is taken out of its host's
+  counts, since it is evidence already.
 
-A document is rejected (language ``und``) if its text has no letters, or if no language reaches ``LEAST_POSTERIOR``.  Null and empty texts, declarations, addresses and hosts are evidence of nothing.  Repeated rows
-are judged alike; an empty table gives an empty result; other columns, whatever their names, play no part.
+A document is rejected (language ``und``) if its text has no letters, or if no language reaches ``LEAST_POSTERIOR``.  Of
+languages with equal scores the first by name counts; of training rows with equal hashes those with the least text.
+Null and empty texts, declarations, addresses and hosts are evidence of nothing.  Repeated rows are judged alike; very
+long texts are read whole; an empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -54,12 +57,21 @@ def gram_cells(text: str) -> np.ndarray:
 class TextModel:
     """log P(gram | language) as a table of cells by languages."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.languages = sorted({lang for _, lang in rows})
-        counts = np.full((BUCKETS, len(self.languages)), 0.05)
+    def __init__(self, counts: dict[str, np.ndarray]):
+        """counts: for each language the number of grams in each cell."""
+        self.languages = sorted(counts)
+        smoothed = np.full((BUCKETS, len(counts)), 0.05)
+        for at, lang in enumerate(self.languages):
+            smoothed[:, at] += counts[lang]
+        self.logs = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str]]) -> TextModel:
+        """Fitted to texts and their languages."""
+        counts = {lang: np.zeros(BUCKETS, np.int64) for _, lang in rows}
         for text, lang in rows:
-            counts[:, self.languages.index(lang)] += np.bincount(gram_cells(text), minlength=BUCKETS)
-        self.logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+            counts[lang] += np.bincount(gram_cells(text), minlength=BUCKETS)
+        return cls(counts)
 
     def evidence(self, text: str) -> np.ndarray:
         """Log likelihoods of the whole text, tempered; zeros for a text without letters."""
@@ -99,7 +111,8 @@ def visible_text(html: Column) -> Column:
 
 
 def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(host, prior array<double> in the order of languages): declared languages of all rows, smoothed by level."""
+    """(host, n array<double>, above array<double>, both in the order of languages): how many rows declare each language,
+    and the smoothed share of each in the parent domain."""
     known = rows.where(F.col("declared").isin(languages)).groupBy("host", "declared").agg(F.count("*").alias("n"))
     counts = [F.sum(F.when(F.col("declared") == lang, F.col("n")).otherwise(0)).alias(f"n_{i}") for i, lang in enumerate(languages)]
     hosts = materialize(known.groupBy("host").agg(*counts).withColumn("parent", parent_of(F.col("host"))), "hosts")
@@ -109,11 +122,14 @@ def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     whole = [(n or 0) + 1 for n in row]
     top = F.array(*[F.lit(n / sum(whole)) for n in whole])
     vector = lambda p: F.array(*[F.coalesce(F.col(f"{p}_{i}"), F.lit(0)).cast("double") for i in range(len(languages))])
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    smooth = lambda v, prior, weight: F.zip_with(v, prior, lambda x, p: (x + weight * p) / (total(v) + weight))
-    above = parents.select("parent", smooth(vector("p"), top, PARENT_PRIOR).alias("above"))
-    out = hosts.join(above.select(F.col("parent").alias("_parent"), "above"), F.col("parent").eqNullSafe(F.col("_parent")))
-    return out.select("host", smooth(vector("n"), F.col("above"), HOST_PRIOR).alias("prior"))
+    above = parents.select(F.col("parent").alias("_parent"), smoothed(vector("p"), top, PARENT_PRIOR).alias("above"))
+    out = hosts.join(above, F.col("parent").eqNullSafe(F.col("_parent")))
+    return out.select("host", vector("n").alias("n"), "above")
+
+
+def smoothed(counts: Column, prior: Column, weight: float) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(counts, prior, lambda x, p: (x + weight * p) / (total + weight))
 
 
 def quotas(counts: dict[str, int], limit: int) -> dict[str, int]:
@@ -125,10 +141,10 @@ def quotas(counts: dict[str, int], limit: int) -> dict[str, int]:
     return out
 
 
-def training_rows(rows: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """(text, language): at most ``limit`` texts, or one for each declared language if there are more languages, at most
-    20,000 characters of each.  The languages come from a grouped count over all rows."""
-    labelled = rows.where("declared is not null and text <> ''").select(F.xxhash64("id", "text").alias("h"), F.substring("text", 1, 20_000).alias("text"), "declared")
+def training_rows(rows: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """(text, declared): at most ``limit`` rows, or one for each declared language if there are more languages.  The
+    languages come from a grouped count over all rows.  Rows that repeat an id or a text count as rows."""
+    labelled = rows.where("declared is not null and text <> ''").select(F.xxhash64("id", "text").alias("h"), "text", "declared")
     found = labelled.groupBy("declared").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # one row a language
     counts = {r["declared"]: r["n"] for r in found}
     quota = quotas(counts, limit)
@@ -137,14 +153,40 @@ def training_rows(rows: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, s
     most = {lang: 2**63 - 1 if x == 1 else int((2 * x - 1) * 2**63) for lang, x in share.items()}
     most = {r["declared"]: max(most[r["declared"]], r["least"]) for r in found}
     if not most:
-        return []
+        return labelled.select("text", "declared").limit(0)
 
     def by_language(numbers: dict[str, int]) -> Column:
         return F.create_map(*[c for lang, n in sorted(numbers.items()) for c in (F.lit(lang), F.lit(n).cast("long"))])[F.col("declared")]
 
     rank = F.row_number().over(Window.partitionBy("declared").orderBy("h", "text"))
     chosen = labelled.where(F.col("h") <= by_language(most)).withColumn("rank", rank).where(F.col("rank") <= by_language(quota))
-    return sorted(((r["text"], r["declared"]) for r in chosen.select("text", "declared").collect()), key=lambda r: (r[1], r[0]))
+    return chosen.select("text", "declared")
+
+
+def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> TextModel:
+    """Fitted to the training rows, whose grams are counted where the texts are; cells and numbers reach the driver, at
+    most ``BUCKETS`` a language."""
+
+    def count(batches):
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                counts[lang] += np.bincount(gram_cells(text), minlength=BUCKETS)
+        for lang, n in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.list_(pa.int64()))], names=["declared", "n"])
+
+    chosen = training_rows(rows, limit)
+    dealt = chosen.repartition(F.pmod(F.xxhash64("text"), F.lit(64)))  # long texts of one language on many tasks
+    found = dealt.mapInArrow(count, "declared string, n array<long>")
+    cells = found.select("declared", F.posexplode("n").alias("cell", "n")).where("n > 0").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
+    by_language = cells.groupBy("declared").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("n"))
+    out: dict[str, np.ndarray] = {}
+    for r in by_language.collect():  # one row a language
+        out[r["declared"]] = np.zeros(BUCKETS, np.int64)
+        out[r["declared"]][r["cells"]] = r["n"]
+    named = [r["declared"] for r in chosen.select("declared").distinct().collect()]  # a text without letters has no cells
+    return TextModel({lang: out.get(lang, np.zeros(BUCKETS, np.int64)) for lang in named})
 
 
 def identify(df: DataFrame, id_col: str, text: Column, declared: Column, url: Column, host: Column, model: TextModel | None = None, carry: bool = False) -> DataFrame:
@@ -163,7 +205,7 @@ def identify(df: DataFrame, id_col: str, text: Column, declared: Column, url: Co
     )
     kept_too = ["row"] if carry else []
     if model is None:
-        model = TextModel(training_rows(rows))
+        model = fit(rows)
     languages = model.languages
     if not languages:
         nothing = F.lit(None).cast("string")
@@ -180,18 +222,20 @@ def identify(df: DataFrame, id_col: str, text: Column, declared: Column, url: Co
         return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(offsets, flat)], names=[*shape.names[:-1], "said"])
 
     said = map_texts(slim, of, shape)
-    named = priors.select(F.col("host").alias("_host"), "prior")
+    named = priors.select(F.col("host").alias("_host"), "n", "above")
     joined = said.join(named, F.col("host").eqNullSafe(F.col("_host")), "left")
 
     names = F.array(*[F.lit(x) for x in languages])
     flat = F.array(*[F.lit(1 / len(languages))] * len(languages))
+    others = F.zip_with("n", names, lambda n, x: F.greatest(n - F.coalesce(x == F.col("declared"), F.lit(False)).cast("double"), F.lit(0.0)))
+    prior = F.coalesce(smoothed(others, F.col("above"), HOST_PRIOR), flat)
 
     def trust(column: str, right: float) -> Column:
         wrong = np.log((1 - right) / max(1, len(languages) - 1)) if len(languages) > 1 else 0.0
         known = F.array_contains(names, F.col(column))
         return F.transform(names, lambda x: F.when(known, F.when(x == F.col(column), float(np.log(right))).otherwise(float(wrong))).otherwise(0.0))
 
-    logs_of = F.zip_with(F.col("said"), F.transform(F.coalesce("prior", flat), lambda p: F.log(p)), lambda a, b: a + b)
+    logs_of = F.zip_with(F.col("said"), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b)
     logs_of = F.zip_with(logs_of, trust("declared", DECLARED_TRUST), lambda a, b: a + b)
     logs_of = F.zip_with(logs_of, trust("suffix", SUFFIX_TRUST), lambda a, b: a + b)
     scored = joined.select("id", "said", F.exists("said", lambda x: x != 0).alias("letters"), logs_of.alias("logs"), *kept_too)

@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, host string, sai
 def test_held_out_accuracy_of_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("n_chars > 200").select("doc_id", "text", "lang")
     rows = sorted(docs.where("doc_id % 10 = 0").collect())
-    model = language.TextModel([(r.text, r.lang) for r in rows[::2]])
+    model = language.TextModel.of([(r.text, r.lang) for r in rows[::2]])
     said = [model.languages[int(np.argmax(model.evidence(r.text)))] for r in rows[1::2]]
     assert np.mean([a == r.lang for a, r in zip(said, rows[1::2], strict=True)]) > 0.98
 
@@ -20,7 +20,7 @@ def test_held_out_accuracy_of_texts(spark):
 def test_fusion_against_plain_bayes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted(docs.collect())
-    model = language.TextModel([(r.text, r.lang) for r in rows])
+    model = language.TextModel.of([(r.text, r.lang) for r in rows])
     langs = model.languages
     none = F.lit(None).cast("string")
     got = {r.id: r for r in language.identify(docs, "doc_id", F.col("text"), F.col("lang"), none, F.col("source"), model).collect()}
@@ -29,6 +29,7 @@ def test_fusion_against_plain_bayes(spark):
     for r in rows:
         n = [sum(o.source == r.source and o.lang == x for o in rows) for x in langs]
         above = [(a + 20 * t) / (sum(n) + 20) for a, t in zip(n, top, strict=True)]
+        n = [a - (r.lang == x) for a, x in zip(n, langs, strict=True)]  # without its own
         prior = [(a + 5 * p) / (sum(n) + 5) for a, p in zip(n, above, strict=True)]
         said = model.evidence(r.text)
         logs = [said[i] + math.log(prior[i]) + math.log(0.9 if x == r.lang else 0.1 / (len(langs) - 1)) for i, x in enumerate(langs)]
@@ -80,8 +81,32 @@ def test_a_rare_language_of_a_large_table_is_known(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("h"))
     got = {r.doc_id: r.language for r in language.identify_documents(df).where("doc_id >= 8990").collect()}
     assert got == {i: "de" if i >= 9000 else "en" for i in range(8990, 9002)}
-    sample = language.training_rows(df.selectExpr("doc_id as id", "text", "lang as declared"), 100)
-    assert len(sample) == 100 and sum(lang == "de" for _, lang in sample) == 2
+    sample = language.training_rows(df.selectExpr("doc_id as id", "text", "lang as declared"), 100).collect()
+    assert len(sample) == 100 and sum(r.declared == "de" for r in sample) == 2
+
+
+def test_the_bound_holds_for_rows_that_share_an_id_or_a_text(spark):
+    df = spark.range(9000).select(F.lit(1).cast("long").alias("id"), F.lit("the same words").alias("text"), F.lit("en").alias("declared"))
+    assert language.training_rows(df, 10).count() == 10
+    df = spark.range(9000).select(F.lit(1).cast("long").alias("id"), F.concat(F.lit("words "), "id").alias("text"), F.lit("en").alias("declared"))
+    assert language.training_rows(df, 10).count() == 10
+
+
+def test_whole_training_texts_count(spark):
+    """What stands beyond any prefix of a text is known too."""
+    rows = [(1, "x" * 30_000 + " das ding war hier und nicht da" * 300, "de", "h"), (2, "y" * 30_000 + " the thing was here and not there" * 300, "en", "h"), (3, "das ding war hier und nicht da", None, None), (4, "the thing was here and not there", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.language for r in language.identify_documents(df).collect()} == {1: "de", 2: "en", 3: "de", 4: "en"}
+    model = language.fit(df.selectExpr("doc_id as id", "text", "lang as declared"))
+    same = language.TextModel.of([(r[1], r[2]) for r in rows[:2]])
+    assert model.languages == same.languages and np.array_equal(model.logs, same.logs)
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(1, "abc abc", "xx", "h"), (2, "abc abc", "yy", "h"), (3, "abc abc", None, None)]
+    got = {r.doc_id: r for r in language.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[3].posterior == pytest.approx(0.5) and got[3].text_language == "xx"
+    assert (got[1].language, got[2].language) == ("xx", "yy")
 
 
 def test_quotas():
