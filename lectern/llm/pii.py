@@ -128,6 +128,17 @@ _DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.categ
 _ODD = re.compile("[" + re.escape("".join(_TABLE) + _DIGITS) + "\u3002\uff61\uff01-\uff5e\u24b6-\u24e9\U0001d400-\U0001d7ff]")
 
 
+def _may_change(text: str) -> bool:
+    """Whether look_alikes may find anything.  Latin-1 texts, most of all, hold two characters that it rewrites."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+    return "\xa0" in text or "\xad" in text
+
+
 def _plain(c: str) -> str:
     if (known := _TABLE.get(c)) is not None:
         return known
@@ -140,7 +151,7 @@ def _plain(c: str) -> str:
 
 
 def look_alikes(text: Mapped) -> Mapped:
-    edits = [(m.start(), m.end(), by) for m in _ODD.finditer(text.text) if (by := _plain(m[0])) != m[0]]
+    edits = [(m.start(), m.end(), by) for m in _ODD.finditer(text.text) if (by := _plain(m[0])) != m[0]] if _may_change(text.text) else []
     return text.rewrite(edits) if edits else text
 
 
@@ -222,12 +233,14 @@ _ONE = re.compile(rf"plus|{_WORD}|[0-9+]", re.IGNORECASE)
 _PART = rf"(?:[0-9]+|(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}})"
 _NUMBER = re.compile(_PART, re.IGNORECASE)
 _SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?:{_SAID_DOT}{_PART}){{3}}(?!\w)", re.IGNORECASE)
-_GAPS = str.maketrans(".,/-", "    ")
 
 
 def _named(text: str) -> bool:
     """Whether any word is a digit's name."""
-    return not _NAMES.keys().isdisjoint(text.lower().translate(_GAPS).split())
+    text = text.lower()
+    for gap in ".,/-":
+        text = text.replace(gap, " ")
+    return not _NAMES.keys().isdisjoint(text.split())
 
 
 def spelled_digits(text: Mapped) -> Mapped:
@@ -248,7 +261,7 @@ def deobfuscate(text: str) -> Mapped | None:
     lower = text.lower()
     spoken = any(w in lower for w in _DOT_WORDS)
     fenced = any(c in text for c in "[({<") and _FENCED.search(text) is not None
-    odd = not text.isascii() and _ODD.search(text) is not None
+    odd = _may_change(text)
     if not (spoken or fenced or odd or (_named(text) and _SPELLED.search(text))):
         return None
     whole = Mapped(text)
