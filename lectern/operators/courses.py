@@ -16,19 +16,25 @@ def segment_audio(sent_id: Column, seg_pos: Column) -> Column:
     return F.format_string("audio/sent_%04d_%02d.wav", sent_id.cast("int"), seg_pos.cast("int"))
 
 
-def nest_segments(segments: DataFrame, key: str) -> DataFrame:
-    """segments(key, sent_id, seg_pos, text, duration_s) -> (key, sent_id, segments), in order."""
-    record = F.struct(F.col("seg_pos"), F.struct("text", segment_audio(F.col("sent_id"), F.col("seg_pos")).alias("audio"), "duration_s").alias("segment"))
-    return segments.groupBy(key, "sent_id").agg(F.transform(F.array_sort(F.collect_list(record)), lambda r: r["segment"]).alias("segments"))
-
-
-def courses(sentences: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """(key, sentences): sentences(key, sent_id, text, duration_s) with their segments; a sentence without any has null,
-    so its JSON has no such field."""
-    nested = nest_segments(segments, key)
-    both = sentences.join(nested, [key, "sent_id"], "left")
-    record = F.struct(F.col("sent_id").cast("int").alias("id"), "text", sentence_audio(F.col("sent_id")).alias("audio"), "duration_s", "segments")
-    return both.groupBy(key).agg(F.array_sort(F.collect_list(record), lambda a, b: a["id"] - b["id"]).alias("sentences"))
+def courses(units: DataFrame, key: str) -> DataFrame:
+    """(key, sentences) from units(key, sent_id, seg_pos, text, duration_s, error): seg_pos is -1 for a sentence itself.
+
+    A sentence whose speech failed goes, with its segments; the others keep their ids.  Its segments stop before the
+    first that failed; a sentence without any has null, so its JSON has no such field.  The rows of a course are shuffled
+    once: what is grouped by course and sentence lies together by course already.
+    """
+    part = F.struct("seg_pos", "text", segment_audio(F.col("sent_id"), F.col("seg_pos")).alias("audio"), "duration_s")
+    own, failed = F.col("seg_pos") < 0, F.col("error").isNotNull()
+    grouped = units.repartition(key).groupBy(key, "sent_id").agg(
+        F.max(F.when(own & ~failed, F.struct("text", "duration_s"))).alias("own"),
+        F.min(F.when(~own & failed, F.col("seg_pos"))).alias("stop"),
+        F.array_sort(F.collect_list(F.when(~own & ~failed, part))).alias("parts"),
+    )
+    spoken = F.filter("parts", lambda p: F.coalesce(p["seg_pos"] < F.col("stop"), F.lit(True)))
+    segments = F.transform(spoken, lambda p: F.struct(p["text"].alias("text"), p["audio"].alias("audio"), p["duration_s"].alias("duration_s")))
+    kept = grouped.where("own is not null").select(key, "sent_id", "own", F.when(F.size(spoken) > 0, segments).alias("segments"))
+    record = F.struct(F.col("sent_id").cast("int").alias("id"), F.col("own.text").alias("text"), sentence_audio(F.col("sent_id")).alias("audio"), F.col("own.duration_s").alias("duration_s"), "segments")
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(record)).alias("sentences"))
 
 
 def course_json(sentences: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import sentences as S
@@ -16,14 +16,17 @@ def paragraphs(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     return rows.select(key, "para_pos", trim(F.col("line")).alias("para")).where("para <> ''")
 
 
-def sentences(paras: DataFrame, key: str) -> DataFrame:
-    """(key, sent_id, raw): sentence ids count through a key from 0.
+def _paragraphs_of(text: Column) -> Column:
+    return F.filter(F.transform(lines(text), trim), lambda p: p != "")
 
-    Positions within paragraphs come from the flat map, so only the paragraphs' sentence counts need a running sum.
+
+def sentences(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(key, sent_id, raw): sentence ids count through a text from 0.
+
+    A text's sentences are made in its row, so their positions are their ids and nothing is shuffled.
     """
-    rows = paras.select(key, "para_pos", F.posexplode(S.split_sentences(F.col("para"))).alias("sent_pos", "raw"))
-    order = Window.partitionBy(key).orderBy("para_pos", "sent_pos")
-    return rows.select(key, (F.row_number().over(order) - 1).alias("sent_id"), "raw")
+    said = F.flatten(F.transform(_paragraphs_of(F.col(text_col)), S.split_sentences))
+    return texts.select(key, F.posexplode(said).alias("sent_id", "raw"))
 
 
 def with_speech(rows: DataFrame, text_col: str = "raw") -> DataFrame:
@@ -43,8 +46,8 @@ def until_first_failure(segments: DataFrame, keys: list[str], failed_col: str =
     return segments.withColumn("first_failed", first).where("first_failed is null or seg_pos < first_failed").drop("first_failed")
 
 
-def counts(paras: DataFrame, sents: DataFrame, key: str) -> DataFrame:
-    """(key, n_paragraphs, n_sentences)."""
-    p = paras.groupBy(key).agg(F.count("*").alias("n_paragraphs"))
-    s = sents.groupBy(key).agg(F.count("*").alias("n_sentences"))
-    return p.join(s, key)
+def counts(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(key, n_paragraphs, n_sentences) of texts with any, from one scan."""
+    paras = texts.select(key, _paragraphs_of(F.col(text_col)).alias("paras")).where(F.size("paras") > 0)
+    n_sentences = F.aggregate("paras", F.lit(0).cast("long"), lambda n, p: n + F.size(S.split_sentences(p)))
+    return paras.select(key, F.size("paras").cast("long").alias("n_paragraphs"), n_sentences.alias("n_sentences"))

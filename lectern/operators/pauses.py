@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import bind
+
 # Seconds and ratios of the detector.
 FRAME_S = 0.020
 LEAST_PAUSE_S = 0.100
@@ -12,39 +14,47 @@ THRESHOLD_RATIO = 0.08
 SMOOTHED_FRAMES = 3
 
 
-def samples_of(signals: DataFrame, key: str, samples_col: str = "samples", sr_col: str = "sr") -> DataFrame:
-    """(key, sr, pos, x): the long form of arrays of samples."""
-    return signals.select(key, F.col(sr_col).cast("int").alias("sr"), F.posexplode(samples_col).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+def with_frames(signals: DataFrame, samples_col: str = "samples", sr_col: str = "sr") -> DataFrame:
+    """Adds frames: array of (n, rms), tumbling frames of 20 ms of which the last may be shorter, and step: a frame's
+    seconds.  Samples stay in their row; they are neither exploded nor shuffled."""
+    width = F.floor(F.lit(FRAME_S) * F.col(sr_col)).cast("int")
+    starts = F.when(F.size(samples_col) > 0, F.sequence(F.lit(0), F.floor((F.size(samples_col) - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
+    square = lambda a, x: a + x.cast("double") * x.cast("double")
+
+    def frame(j: Column) -> Column:
+        part = F.slice(samples_col, j * width + 1, width)
+        return bind(part, lambda xs: F.struct(F.size(xs).cast("long").alias("n"), F.sqrt(F.aggregate(xs, F.lit(0.0), square) / F.size(xs)).alias("rms")))
+
+    return signals.withColumns({"frames": F.transform(starts, frame), "step": width / F.col(sr_col)})
+
+
+def with_energy(framed: DataFrame) -> DataFrame:
+    """Adds energy: for each frame the mean rms over it and the two before it."""
 
+    def mean(j: Column) -> Column:
+        first = F.greatest(j - (SMOOTHED_FRAMES - 1), F.lit(0))
+        return F.aggregate(F.slice("frames.rms", first + 1, j - first + 1), F.lit(0.0), lambda a, x: a + x) / (j - first + 1)
 
-def frame_energy(samples: DataFrame, key: str) -> DataFrame:
-    """(key, sr, frame, n, rms): tumbling frames of 20 ms; the last may be shorter.  Sums are combined before the shuffle."""
-    width = F.floor(F.lit(FRAME_S) * F.col("sr")).cast("int")
-    framed = samples.withColumn("frame", F.floor(F.col("pos") / width).cast("int"))
-    return framed.groupBy(key, "sr", "frame").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    return framed.withColumn("energy", F.transform("frames", lambda _, j: mean(j)))
 
 
-def smoothed(frames: DataFrame, key: str) -> DataFrame:
-    """Adds energy: the mean over the frame and the two before it."""
-    trailing = Window.partitionBy(key).orderBy("frame").rowsBetween(1 - SMOOTHED_FRAMES, 0)
-    return frames.withColumn("energy", F.avg("rms").over(trailing))
+def _median(values: Column) -> Column:
+    """The middle value, or the mean of the two."""
+    return bind(F.array_sort(values), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
 
 
-def pauses(samples: DataFrame, key: str) -> DataFrame:
+def pauses(signals: DataFrame, key: str, samples_col: str = "samples", sr_col: str = "sr") -> DataFrame:
     """(key, start_s, end_s) of runs of at least 100 ms below 8 % of the median energy; a run ends where the first louder
-    frame starts, or with the signal."""
-    frames = smoothed(frame_energy(samples, key), key)
-    limits = frames.groupBy(key).agg((F.median("energy") * THRESHOLD_RATIO).alias("threshold"), F.sum("n").alias("n_samples"))
-    limits = limits.withColumnRenamed(key, "_key")
-    marked = frames.join(limits, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("quiet", F.col("energy") < F.col("threshold"))
-    order = Window.partitionBy(key).orderBy("frame")
-    change = F.when(F.col("quiet") != F.coalesce(F.lag("quiet").over(order), F.lit(False)), 1).otherwise(0)
-    runs = marked.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    step = F.floor(F.lit(FRAME_S) * F.col("sr")) / F.col("sr")
-    runs = runs.withColumn("next_loud", F.lead("frame").over(order))
-    found = runs.where("quiet").groupBy(key, "run").agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.max(F.struct("frame", "next_loud"))["next_loud"].alias("after"), F.first(step).alias("step"), F.first("n_samples").alias("n_samples"), F.first("sr").alias("sr"))
-    end = F.when(F.col("after").isNull(), F.col("n_samples") / F.col("sr")).otherwise(F.col("after") * F.col("step"))
-    spans = found.select(key, (F.col("a") * F.col("step")).alias("start_s"), end.alias("end_s"))
+    frame starts, or with the signal.  A signal is one row, and so is all that is known of it until its runs are told."""
+    marked = with_energy(with_frames(signals.select(key, F.col(samples_col).alias("samples"), F.col(sr_col).alias("sr"))))
+    marked = marked.select(key, "sr", "step", F.size("samples").alias("n"), "energy", (_median(F.col("energy")) * THRESHOLD_RATIO).alias("threshold"))
+    quiet = marked.select(key, "sr", "step", "n", F.transform("energy", lambda e: e < F.col("threshold")).alias("quiet"))
+    places = F.transform("quiet", lambda _, j: j)
+    begins = F.filter(places, lambda j: F.get("quiet", j) & ~F.coalesce(F.get("quiet", j - 1), F.lit(False)))
+    ends = F.filter(places, lambda j: F.get("quiet", j) & ~F.coalesce(F.get("quiet", j + 1), F.lit(False)))
+    runs = quiet.select(key, "sr", "step", "n", F.size("quiet").alias("last"), F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("r"))
+    end = F.when(F.col("r.b") == F.col("last") - 1, F.col("n") / F.col("sr")).otherwise((F.col("r.b") + 1) * F.col("step"))
+    spans = runs.select(key, (F.col("r.a") * F.col("step")).alias("start_s"), end.alias("end_s"))
     return spans.where(F.col("end_s") - F.col("start_s") >= LEAST_PAUSE_S)
 
 

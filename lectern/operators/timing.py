@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, trim
+from lectern.functions.text import SPACE, bind, trim
 
 PUNCTUATION = (".", ",", "?", "!")
 
@@ -16,31 +16,43 @@ def tokens(text: Column, closing_apart: bool = True) -> Column:
     return F.filter(F.split(spaced, rf"{SPACE}+", -1), lambda w: w != "")
 
 
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it.  Sums over stretches of about the square root of the length
+    come first, so no array of the whole length is built up number by number."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers))).cast("int"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    stretches = F.when(F.size(numbers) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")), lambda k: total(F.slice(numbers, k * width + 1, width))))
+    firsts = F.aggregate(stretches, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    return bind(firsts, lambda before: F.transform(numbers, lambda _, i: before[F.floor(i / width).cast("int")] + total(F.slice(numbers, F.floor(i / width).cast("int") * width + 1, i % width))))
+
+
 def word_intervals(rows: DataFrame, key: str, text_col: str, duration_col: str, weight=None, closing_apart: bool = True, blank: bool = True) -> DataFrame:
     """(key, pos, word, start_s, end_s), unrounded: each word's share of the duration is that of its weight.
 
     weight: word column -> number column, 1 by default.  Without any weight the whole text is one interval; a blank
-    text has it only if ``blank``.  The last word ends with the sentence.
+    text has it only if ``blank``.  The last word ends with the sentence.  Sums are made in the row: nothing is shuffled.
     """
     words = F.filter(tokens(F.col(text_col), closing_apart), lambda w: ~w.isin(*PUNCTUATION))
     base = rows.select(F.col(key), F.col(text_col).alias("text"), F.col(duration_col).cast("double").alias("duration"), words.alias("words"))
-    # Only words, not texts, go through the explosion; equal weights need no running sum and so no shuffle.
     if weight is None:
         base = base.withColumn("total", F.size("words").cast("double"))
-        spread = base.where("total > 0").select(key, "duration", "total", F.posexplode("words").alias("pos", "word"))
-        spread = spread.withColumns({"before": F.col("pos").cast("double"), "weight": F.lit(1.0)})
     else:
         base = base.withColumn("weights", F.transform("words", lambda w: weight(w).cast("double")))
-        base = base.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
-        spread = base.where("total > 0").select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(F.arrays_zip("words", "weights")).alias("pos", "w"))
-        spread = spread.select(key, "duration", "total", "n", "pos", F.col("w.words").alias("word"), F.col("w.weights").alias("weight"))
-        so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        spread = spread.withColumn("before", F.coalesce(F.sum("weight").over(so_far), F.lit(0.0)))
-    last = F.col("pos") == (F.col("total") if weight is None else F.col("n")) - 1
-    end = F.when(last, F.col("duration")).otherwise(F.col("duration") * (F.col("before") + F.col("weight")) / F.col("total"))
-    shared = spread.select(key, "pos", "word", (F.col("duration") * F.col("before") / F.col("total")).alias("start_s"), end.alias("end_s"))
-    single = base.where("total = 0").where(F.lit(True) if blank else (F.size("words") > 0) | (trim(F.col("text")) != ""))
-    return shared.union(single.select(key, F.lit(0).alias("pos"), trim(F.col("text")).alias("word"), F.lit(0.0).alias("start_s"), F.col("duration").alias("end_s")))
+        base = base.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)).withColumn("before", sums_before(F.col("weights")))
+    alone = F.lit(True) if blank else (F.size("words") > 0) | (trim(F.col("text")) != "")
+    shown = F.when(F.col("total") > 0, F.col("words")).when(alone, F.array(trim(F.col("text")))).otherwise(F.array().cast("array<string>"))
+    # Only words, not texts, go through the explosion.
+    if weight is None:
+        spread = base.select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(shown).alias("pos", "word"))
+        before, own = F.col("pos").cast("double"), F.lit(1.0)
+    else:
+        entries = F.transform(shown, lambda w, i: F.struct(w.alias("word"), F.get("before", i).alias("before"), F.get("weights", i).alias("weight")))
+        spread = base.select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(entries).alias("pos", "w")).select(key, "duration", "total", "n", "pos", "w.*")
+        before, own = F.col("before"), F.col("weight")
+    whole = F.col("total") <= 0
+    start = F.when(whole, 0.0).otherwise(F.col("duration") * before / F.nullif(F.col("total"), F.lit(0.0)))
+    end = F.when(whole | (F.col("pos") == F.col("n") - 1), F.col("duration")).otherwise(F.col("duration") * (before + own) / F.nullif(F.col("total"), F.lit(0.0)))
+    return spread.select(key, "pos", "word", start.alias("start_s"), end.alias("end_s"))
 
 
 def rounded(intervals: DataFrame) -> DataFrame:

@@ -9,22 +9,22 @@ from lectern.functions import spoken
 from lectern.operators import catalog, courses, lessons, segmenting
 
 
-def course_parts(texts: DataFrame, key: str, text_col: str = "text", splitter: str = "auto", engine: str = "stub") -> tuple[DataFrame, DataFrame]:
-    """(sentences, segments) with durations.  Sentences and segments whose speech failed are left out by the rules of
-    their operators; segments are cut from the shown text, each with its own spoken text."""
-    sents = lessons.with_speech(lessons.sentences(lessons.paragraphs(texts, key, text_col), key))
-    said = catalog.speak(sents, "tts", engine).select(key, "sent_id", "display", "tts", F.col("speech.duration_s").alias("duration_s"), F.col("speech.error").alias("error"))
-    said = lessons.keep_spoken(said).drop("error")
-    parts = said.select(key, "sent_id", segmenting.splitter(splitter)(F.col("display")).alias("parts")).where(F.size("parts") > 1)
-    segments = parts.select(key, "sent_id", F.posexplode("parts").alias("seg_pos", "text")).withColumn("tts", spoken.spoken_text(F.col("text")))
-    spoken_segments = catalog.speak(segments, "tts", engine).select(key, "sent_id", "seg_pos", "text", "tts", F.col("speech.duration_s").alias("duration_s"), F.col("speech.error").alias("error"))
-    return said, lessons.until_first_failure(spoken_segments, [key, "sent_id"]).drop("error")
+def spoken_units(texts: DataFrame, key: str, text_col: str = "text", splitter: str = "auto", engine: str = "stub") -> DataFrame:
+    """(key, sent_id, seg_pos, text, tts, duration_s, error): every sentence (seg_pos -1) and, if there are more than one,
+    its segments, which are cut from the shown text and have spoken texts of their own.  One pass: each text is split
+    once and each unit goes through the speech engine once."""
+    sents = lessons.sentences(texts, key, text_col).withColumn("display", spoken.display_text(F.col("raw")))
+    parts = sents.select(key, "sent_id", "raw", "display", segmenting.splitter(splitter)(F.col("display")).alias("parts"))
+    segments = F.when(F.size("parts") > 1, F.transform("parts", lambda p, i: F.struct(i.alias("seg_pos"), p.alias("text"), p.alias("source"))))
+    own = F.struct(F.lit(-1).alias("seg_pos"), F.col("display").alias("text"), F.col("raw").alias("source"))
+    units = parts.select(key, "sent_id", F.explode(F.concat(F.array(own), F.coalesce(segments, F.array()))).alias("u")).select(key, "sent_id", "u.*")
+    said = catalog.speak(units.select(key, "sent_id", "seg_pos", "text", spoken.spoken_text(F.col("source")).alias("tts")), "tts", engine)
+    return said.select(key, "sent_id", "seg_pos", "text", "tts", F.col("speech.duration_s").alias("duration_s"), F.col("speech.error").alias("error"))
 
 
 def build_courses(texts: DataFrame, key: str, text_col: str = "text", splitter: str = "auto", engine: str = "stub") -> DataFrame:
     """(key, sentences)."""
-    sents, segments = course_parts(texts, key, text_col, splitter, engine)
-    return courses.courses(sents.select(key, "sent_id", F.col("display").alias("text"), "duration_s"), segments, key)
+    return courses.courses(spoken_units(texts, key, text_col, splitter, engine), key)
 
 
 def describe(spark: SparkSession, name: str, engine: str = "stub", voice: str | None = None, category: str | None = None) -> str:

@@ -42,7 +42,7 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lessons.sentences(_paragraphs(spark, sf_dir), "doc_id")
+    return lessons.sentences(_documents(spark, sf_dir), "doc_id")
 
 
 # Texts with every kind of number and marker, which the documents lack, before each whole document.  Both engines read this SQL.
@@ -75,8 +75,7 @@ def sentences(spark, sf_dir):
     select doc_id, n_paragraphs, n_sentences
     from (select doc_id, count(*) as n_paragraphs from ({O.PARAGRAPHS}) group by 1) join (select doc_id, count(*) as n_sentences from ({O.SENTENCES}) group by 1) using (doc_id)""")
 def sentence_counts(spark, sf_dir):
-    paras = _paragraphs(spark, sf_dir)
-    return lessons.counts(paras, lessons.sentences(paras, "doc_id"), "doc_id")
+    return lessons.counts(_documents(spark, sf_dir), "doc_id")
 
 
 _TIGHT = """concat('Dr.Smith ', cast(doc_id as string), ' saw the market.The end!"Next" he said."Now go?Yes. At 3 p.m. Please come. p.m.Please ask Ph.D. He or the U.S. The end of St. Paul? (he "yes.")')"""
@@ -184,7 +183,7 @@ def weighted_word_intervals(spark, sf_dir):
 
 
 # Signals: the components of each vector at 100 Hz, one quarter of them nearly silent.
-_HUSHED = "x * if((pos div 16 + vec_id) % 4 = 0, 0.0001D, 1D)"
+_HUSHED = "transform(embedding, (x, pos) -> cast(x as double) * if((pos div 16 + vec_id) % 4 = 0, 0.0001D, 1D))"
 _SIGNAL_SQL = "select vec_id, pos, x::double * case when (pos // 16 + vec_id) % 4 = 0 then 0.0001::double else 1 end as x from (select vec_id, unnest(embedding) as x, unnest(range(0, len(embedding))) as pos from embeddings)"
 _FRAMES_SQL = f"select vec_id, (pos // 2)::int as frame, count(*) as n, sqrt(avg(x * x)) as rms from ({_SIGNAL_SQL}) group by all"
 _SMOOTH_SQL = f"select *, avg(rms) over (partition by vec_id order by frame rows between 2 preceding and current row) as energy from ({_FRAMES_SQL})"
@@ -198,18 +197,19 @@ _PAUSES_SQL = f"""
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = _table(spark, sf_dir, "embeddings").select("vec_id", F.lit(100).alias("sr"), F.col("embedding").alias("samples"))
-    return pauses.samples_of(arrays, "vec_id").withColumn("x", F.expr(_HUSHED))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.lit(100).alias("sr"), F.expr(_HUSHED).alias("samples"))
 
 
 @query(f"select vec_id, frame, n, round(rms, 9) as rms from ({_FRAMES_SQL})")
 def frame_energy(spark, sf_dir):
-    return pauses.frame_energy(_signal(spark, sf_dir), "vec_id").select("vec_id", "frame", "n", F.round("rms", 9).alias("rms"))
+    framed = pauses.with_frames(_signal(spark, sf_dir)).select("vec_id", F.posexplode("frames").alias("frame", "f"))
+    return framed.select("vec_id", "frame", "f.n", F.round("f.rms", 9).alias("rms"))
 
 
 @query(f"select vec_id, frame, round(energy, 9) as energy from ({_SMOOTH_SQL})")
 def smoothed_energy(spark, sf_dir):
-    return pauses.smoothed(pauses.frame_energy(_signal(spark, sf_dir), "vec_id"), "vec_id").select("vec_id", "frame", F.round("energy", 9).alias("energy"))
+    energy = pauses.with_energy(pauses.with_frames(_signal(spark, sf_dir))).select("vec_id", F.posexplode("energy").alias("frame", "energy"))
+    return energy.select("vec_id", "frame", F.round("energy", 9).alias("energy"))
 
 
 @query(f"select vec_id, round(start_s, 6) as start_s, round(end_s, 6) as end_s, round(end_s - start_s, 6) as duration_s from ({_PAUSES_SQL}) where end_s - start_s >= 0.1")

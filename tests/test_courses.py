@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern.operators import catalog, courses, increments, lessons
-from lectern.plans.course import build_courses, course_parts, describe
+from lectern.plans.course import build_courses, describe, spoken_units
 from lectern.sources import archives, lesson_files
 from lectern.streaming import lesson_stream
 
@@ -17,15 +17,15 @@ LONG = "The Do Hiemon Box went on sale in April for 1.5 million yen (around  $9,
 
 def test_segments_show_numbers_and_say_words(spark):
     df = spark.createDataFrame([("c", LONG)], "k string, text string")
-    sents, segments = course_parts(df, "k")
-    rows = segments.orderBy("seg_pos").collect()
+    units = spoken_units(df, "k")
+    rows = units.where("seg_pos >= 0").orderBy("seg_pos").collect()
     shown, said = " ".join(r.text for r in rows), " ".join(r.tts for r in rows)
     assert len(rows) == 4
     for number in ("1.5 million", "$9,200", "300,000", "$1,800"):
         assert number in shown
     for words in ("one point five million", "nine thousand two hundred dollars", "three hundred thousand yen", "one thousand eight hundred dollars"):
         assert words in said and words not in shown
-    assert sents.first().display == LONG
+    assert units.where("seg_pos = -1").first().text == LONG
 
 
 def test_course_json_and_archive(spark):
@@ -54,8 +54,13 @@ def test_failures(spark, monkeypatch):
 
     monkeypatch.setitem(catalog.ENGINES, "picky", picky)
     df = spark.createDataFrame([("c", "Good. This is bad. Fine.")], "k string, text string")
-    sents, _ = course_parts(df, "k", engine="picky")
-    assert [r.sent_id for r in sents.orderBy("sent_id").collect()] == [0, 2]
+    assert [s.id for s in build_courses(df, "k", engine="picky").first().sentences] == [0, 2]
+    long = "This sentence is so long, as anyone can see, that it has to be cut, and its bad third part, of all parts, has no voice at all."
+    built = build_courses(spark.createDataFrame([("c", long)], "k string, text string"), "k", engine="picky")
+    assert built.count() == 0  # the sentence itself has none either
+    df = spark.createDataFrame([("c", 0, -1, "a b", 1.0, None), ("c", 0, 0, "a", 0.5, None), ("c", 0, 1, "b", None, "e"), ("c", 0, 2, "c", 0.5, None), ("c", 1, -1, "d", None, "e"), ("c", 1, 0, "d", 1.0, None), ("c", 2, -1, "x", 1.0, None), ("c", 2, 0, "x", None, "e")], "k string, sent_id int, seg_pos int, text string, duration_s double, error string")
+    found = courses.courses(df, "k").first().sentences
+    assert [(s.id, s.segments and [g.text for g in s.segments]) for s in found] == [(0, ["a"]), (2, None)]
     rows = spark.createDataFrame([(1, 0, None), (1, 1, "e"), (1, 2, None), (2, 0, None), (2, 1, None)], "k int, seg_pos int, error string")
     assert sorted((r.k, r.seg_pos) for r in lessons.until_first_failure(rows, ["k"]).collect()) == [(1, 0), (2, 0), (2, 1)]
 

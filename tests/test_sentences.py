@@ -43,6 +43,6 @@ def test_ids_run_through_paragraphs(spark):
     df = spark.createDataFrame([("a", "One. Two.\r\n\r\n  \rThree\nFour. Five!"), ("b", ""), ("c", None)], "k string, text string")
     paras = lessons.paragraphs(df, "k")
     assert [(r.k, r.para_pos, r.para) for r in paras.orderBy("para_pos").collect()] == [("a", 0, "One. Two."), ("a", 3, "Three"), ("a", 4, "Four. Five!")]
-    rows = lessons.sentences(paras, "k").orderBy("sent_id").collect()
+    rows = lessons.sentences(df, "k").orderBy("sent_id").collect()
     assert [(r.sent_id, r.raw) for r in rows] == list(enumerate(["One.", "Two.", "Three", "Four.", "Five!"]))
-    assert tuple(lessons.counts(paras, lessons.sentences(paras, "k"), "k").first()) == ("a", 3, 5)
+    assert tuple(lessons.counts(df, "k").first()) == ("a", 3, 5)

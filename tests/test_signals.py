@@ -42,10 +42,10 @@ SIGNALS = {
 
 def test_pauses_against_a_loop(spark):
     df = spark.createDataFrame([(k, sr, x) for k, (sr, x) in SIGNALS.items()], "id int, sr int, samples array<double>")
-    got = pauses.pauses(pauses.samples_of(df, "id"), "id").collect()
+    got = pauses.pauses(df, "id").collect()
     for k, (sr, x) in SIGNALS.items():
         assert sorted((round(r.start_s, 9), round(r.end_s, 9)) for r in got if r.id == k) == plain_pauses(x, sr), k
-    assert pauses.pauses(pauses.samples_of(df.limit(0), "id"), "id").count() == 0
+    assert pauses.pauses(df.limit(0), "id").count() == 0
 
 
 def test_sounds_round_trip(spark):
