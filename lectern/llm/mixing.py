@@ -82,14 +82,17 @@ def sainte_lague(claims: DataFrame, group: list[str], tie: list[str]) -> DataFra
     return out.select(*claims.columns, "quota")
 
 
+def _shard(doc_id: Column, n_shards: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED), doc_id), n_shards)
+
+
 def quotas(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents with their shard, shards with their quota of blocks)."""
     goals = materialize(targets(sized), "targets")
     n_shards = F.ceil((F.col("source_size") + F.col("n_docs")) / shard_words).cast("long")
     named = goals.select(F.col("source").alias("_source"), "source_size", "target", "full", n_shards.alias("_n_shards"))
-    shard = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("_n_shards"))
-    dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard).drop("_source", "_n_shards")
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("full").alias("full"))
+    dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", _shard(F.col("doc_id"), F.col("_n_shards"))).drop("_source")
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("_n_shards").alias("n_shards"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("full").alias("full"))
     blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block_words))).otherwise(0).cast("long")
     shards = materialize(shards.withColumn("blocks", blocks), "shards")
     sources = shards.groupBy("source").agg(F.sum("blocks").alias("source_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("full").alias("full"))
@@ -99,10 +102,10 @@ def quotas(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     given = sainte_lague(open_.select("all", "source", "source_blocks", "claim", "limit", "seats"), ["all"], ["source"])
     full = sources.where("full").select("source", "source_blocks", (MOST * F.col("source_blocks")).alias("quota"))
     by_source = given.select("source", "source_blocks", "quota").union(full).select(F.col("source").alias("_source"), "source_blocks", F.col("quota").alias("seats"))
-    parts = shards.select("source", "shard", "words", "blocks").join(by_source, F.col("source").eqNullSafe(F.col("_source")))
+    parts = shards.select("source", "shard", "n_shards", "words", "blocks").join(by_source, F.col("source").eqNullSafe(F.col("_source")))
     parts = parts.withColumn("claim", F.coalesce(F.col("seats") * F.col("blocks") / F.nullif(F.col("source_blocks"), F.lit(0)), F.lit(0.0))).withColumn("limit", MOST * F.col("blocks"))
-    final = sainte_lague(parts.select("source", "shard", "words", "blocks", "claim", "limit", "seats"), ["source"], ["shard"])
-    return dealt, final.select("source", "shard", "words", "blocks", "quota")
+    final = sainte_lague(parts.select("source", "shard", "n_shards", "words", "blocks", "claim", "limit", "seats"), ["source"], ["shard"])
+    return dealt.drop("_n_shards"), final.select("source", "shard", "n_shards", "words", "blocks", "quota")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -126,14 +129,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return joined.select("doc_id", "source", "size", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"), taken.alias("taken"))
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, all columns, as whole documents: each appears floor(taken / size) times, and once more with the
-    remaining fraction as its chance (by a seeded hash of the id), so a source's words near its target.  Documents
-    without words or blocks go."""
-    share = mix(df, id_col, text_col, source_col).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("share"))
-    share = share.select(F.col("doc_id").alias("shared_id"), "share")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    chance = F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int")
-    joined = rows.join(share, F.col("id").eqNullSafe(F.col("shared_id"))).where("share is not null")
-    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of df, all columns, as whole documents: the quotas of blocks in integers of documents.
+
+    A shard with a quota of q of its n blocks stands its documents in the order of their sizes, and the r-th of them
+    appears as often as multiples of n lie in (s + (r - 1) q, s + r q], with a seeded start s below n: q div n times, and
+    once more for q mod n of every n documents, evenly over all sizes.  So a shard's words differ from its quota by no
+    more than its largest document.  Documents without words go.  Rows that repeat an id are documents of their own.
+    Texts are shuffled once, by source and shard.
+    """
+    _, shards = quotas(materialize(sizes(df, id_col, text_col, source_col), "sizes"), block_words, shard_words)
+    shards = materialize(shards.where("blocks > 0"), "quotas")
+    numbers = shards.groupBy("source").agg(F.first("n_shards").alias("_n_shards")).withColumnRenamed("source", "_source")
+    row, doc_id = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id")
+    rows = df.select(row, doc_id, F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h")).where("size > 0")
+    placed = rows.join(numbers, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", _shard(F.col("doc_id"), F.col("_n_shards")))
+    # The quotas come as a row of their own into each shard's window: no second shuffle joins them.
+    given = shards.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("h"), "shard", "quota", "blocks")
+    both = given.unionByName(placed.select("row", "doc_id", "source", "size", "h", "shard", F.lit(None).cast("long").alias("quota"), F.lit(None).cast("long").alias("blocks")))
+    shard = Window.partitionBy("source", "shard").orderBy(F.col("size").desc_nulls_first(), "doc_id", "h")
+    first = shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = both.select("row", (F.row_number().over(shard) - 1).cast("long").alias("r"), F.first("quota").over(first).alias("q"), F.first("blocks").over(first).alias("n"), F.pmod(F.xxhash64(F.lit(SEED + 3), "source", "shard"), F.first("blocks").over(first)).alias("s"))
+    copies = F.expr("cast((s + r * q) div n - (s + (r - 1) * q) div n as int)")
+    repeated = ranked.where("row is not null").select("row", copies.alias("copies")).where("copies > 0")
+    return repeated.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

@@ -42,7 +42,7 @@ END_ID = 1
 BLOCKS_AT_ONCE = 16
 TEXTS_AT_ONCE = 512
 #: Words in each of a worker's two memo generations.
-MEMO = 500_000
+MEMO = 400_000
 #: Words that are tokenized in one call.
 WORDS_AT_ONCE = 512
 #: In lower-case Latin-1: a comma or full stop after what is surely no mark is what this doesn't find.

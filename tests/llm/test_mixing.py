@@ -73,3 +73,56 @@ def test_nulls_repeats_clashing_names_and_empty(spark):
     none = spark.createDataFrame([(1, None, None, "", "", "")], SCHEMA)
     assert [(r.target, r.taken) for r in mixing.mix(none).collect()] == [(0.0, 0)]
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_documents_on_a_whole_table(spark):
+    """Sources come within one document of their quotas, the whole within a few; copies are integers, two at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mixed_documents(docs)
+    assert got.dtypes == docs.dtypes
+    copies = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    texts = {r.doc_id: r for r in docs.collect()}
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in texts.items()}
+    size, taken, largest = {}, {}, {}
+    for i, r in texts.items():
+        size[r.source] = size.get(r.source, 0) + words[i]
+        taken[r.source] = taken.get(r.source, 0) + words[i] * copies.get(i, 0)
+        largest[r.source] = max(largest.get(r.source, 0), words[i])
+    want = plain_targets(size)
+    assert max(copies.values()) <= 2
+    for s in want:
+        assert abs(taken[s] - want[s]) <= largest[s] + 64
+    errors = sorted(abs(taken[s] - want[s]) / want[s] for s in want)
+    assert errors[len(errors) // 2] < 0.02
+    assert abs(sum(taken.values()) - sum(want.values())) < 0.01 * sum(want.values())
+    again = {r.doc_id: r["count"] for r in mixing.mixed_documents(docs.repartition(7)).groupBy("doc_id").count().collect()}
+    assert again == copies
+
+
+def test_whole_documents_by_systematic_choice(spark):
+    """Against a loop over each shard's documents by size."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 37 as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', concat('s', id % 7))").alias("source"))
+    dealt, shards = mixing.quotas(mixing.sizes(rows), 8, 500)
+    quota = {(r.source, r.shard): r for r in shards.collect()}
+    offset = {(r.source, r.shard): r.s for r in shards.where("blocks > 0").select("source", "shard", F.expr(f"pmod(xxhash64({mixing.SEED + 3}, source, shard), blocks)").alias("s")).collect()}
+    groups = {}
+    for r in dealt.collect():
+        if r["size"]:
+            groups.setdefault((r.source, r.shard), []).append((-r["size"], r.doc_id))
+    want = {}
+    for at, members in groups.items():
+        total = offset[at]
+        for _, doc_id in sorted(members):
+            before, total = total, total + quota[at].quota
+            if copies := total // quota[at].blocks - before // quota[at].blocks:
+                want[doc_id] = copies
+    got = {r.doc_id: r["count"] for r in mixing.mixed_documents(rows, block_words=8, shard_words=500).groupBy("doc_id").count().collect()}
+    assert got == want
+
+
+def test_whole_documents_of_odd_rows(spark):
+    rows = [(1, None, "a", "x", "y", "z"), (2, "", None, "x", "y", "z"), (3, "one two", None, None, None, None), (3, "one two", None, None, None, None), (None, "a b c", "a", "", "", ""), (4, "x " * 50_000, "b", "", "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed_documents(df)
+    assert got.dtypes == df.dtypes and {r.doc_id for r in got.collect()} <= {3, None, 4}
+    assert mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mixed_documents(df.where("doc_id = 1")).count() == 0
