@@ -166,13 +166,26 @@ class Words:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._spaced(t).split(" ") for t in texts]
         if len(self.young) > MEMO:
             self.young, self.old = {"": b""}, self.young
-        if missing := set().union(*split).difference(self.young):
+        get, out, holes, missing = self.young.get, [], [], set()
+        for text in texts:
+            split = self._spaced(text).split(" ")
+            ids = list(map(get, split))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # some word isn't known
+                at = [i for i, x in enumerate(ids) if x is None]
+                missing.update([split[i] for i in at])
+                holes.append((len(out), ids, [(i, split[i]) for i in at]))
+                out.append(b"")
+        if missing:
             self._learn(missing)
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for number, ids, at in holes:
+            for i, word in at:
+                ids[i] = self.young[word]
+            out[number] = b"".join(ids)
+        return out
 
 
 @lru_cache(2)
