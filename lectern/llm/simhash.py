@@ -6,9 +6,13 @@ it is set in more than half of the shingles' XXH64 values (seed 42).
 
 Links: two fingerprints that differ in at most 3 bits agree on at least two of five blocks, so every pair meets in
 one of ten buckets, each keyed by two blocks (25 or 26 bits).  Equal fingerprints are one node.  Inside a bucket a
-breadth-first walk emits a spanning forest of the verified links, never all pairs.  A bucket of more than
+walk emits a spanning forest of the verified links, never all pairs.  A bucket of more than
 ``HOT_BUCKET`` fingerprints is dealt out again by five of eight blocks (40 bits), which bounds any group by 2**24
-fingerprints.  Nulls in the id column are kept; such rows take part with a null id.
+fingerprints.
+
+Nulls in the id column are kept; such rows take part with a null id.  Repeated rows and equal texts share a node, however
+many there are.  Very long texts are hashed whole, in stretches.  An empty table gives an empty result.  Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -193,8 +197,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #
 # Two texts that share 80 % of their five-word shingles differ in some 15 % of a fingerprint's bits, too many for exact
 # pigeonholing of 64 bits.  Long fingerprints are cut into many blocks instead: of two-word shingles, which fewer edits
-# touch.  Where a passage was added, cut or replaced the two-word similarity is ``SIMILARITY`` too; ``BLOCKS`` blocks of
-# ``BLOCK_BITS`` are sized for that: such a pair shares one with a chance of 99 %.  The Hamming distance of 256-bit
+# touch.  Where a passage was added, cut or replaced the two-word similarity is ``SIMILARITY`` too; blocks are sized for
+# that: such a pair shares one with a chance of ``CHANCE``.  A block has as many bits as the number of rows, so that the
+# mean bucket doesn't grow with the corpus, and as many blocks as the chance then asks for (``block_shape``); a bucket of
+# more than ``WIDE_BUCKET`` rows is dealt out as pairs of chunks.  The Hamming distance of 256-bit
 # fingerprints of five-word shingles (each once), its limit ``DEVIATIONS`` standard deviations beyond what ``SIMILARITY``
 # gives, then leaves loose groups.  Inside each group the exact share of common shingles decides, so no pair below
 # ``SIMILARITY`` is linked.
@@ -202,15 +208,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 COPY_WIDTH = 5
 SIMILARITY = 0.8
 BLOCK_WIDTH = 2
+#: The least number of blocks and of bits in one.
 BLOCKS = 96
 BLOCK_BITS = 18
+CHANCE = 0.99
+#: Rows of a bucket that are compared with one another in one task.
+WIDE_BUCKET = 1 << 14
 CHECK_WORDS = 4
 DEVIATIONS = 4.0
 #: Texts, and shingles, of a loose group that are compared at once with as many others.
 CHUNK_TEXTS = 512
 CHUNK_SHINGLES = 1 << 19
-_BLOCK_WORDS = -(-BLOCKS * BLOCK_BITS // 64)
-_ODD = (np.arange(1, _BLOCK_WORDS + CHECK_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _odd(first: int, n: int) -> np.ndarray:
+    """Multipliers that mix a hash in n ways."""
+    return (np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def block_shape(n_rows: int, similarity: float = SIMILARITY, chance: float = CHANCE) -> tuple[int, int]:
+    """(number of blocks, bits in one) for so many rows."""
+    bits = max(BLOCK_BITS, max(1, n_rows - 1).bit_length())
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return max(BLOCKS, int(np.ceil(np.log(1 - chance) / np.log(1 - agree**bits)))), bits
 
 
 def bits_for(similarity: float, total: int = 64 * CHECK_WORDS, deviations: float = 1.0) -> int:
@@ -236,21 +256,22 @@ def _content(text: str) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
 
 
-def _sketch(text: str, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+def _sketch(text: str, width: int, shape: tuple[int, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(128-bit hash of the words, block keys, fingerprint to filter with)."""
+    blocks, bits = shape
     content = _content(text)
-    wide = np.unpackbits(_long_fingerprint(np.unique(shingle_hashes(text, BLOCK_WIDTH)), _ODD[:_BLOCK_WORDS]).view(np.uint8), bitorder="little")
-    blocks = wide[: BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
-    keys = blocks | (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
-    return content, keys, _long_fingerprint(np.unique(shingle_hashes(text, width)), _ODD[_BLOCK_WORDS:])
+    long = _long_fingerprint(np.unique(shingle_hashes(text, BLOCK_WIDTH)), _odd(CHECK_WORDS, -(-blocks * bits // 64)))
+    wide = np.unpackbits(long.view(np.uint8), bitorder="little")[: blocks * bits]
+    keys = wide.reshape(blocks, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    return content, keys | (np.arange(blocks, dtype=np.int64) << bits), _long_fingerprint(np.unique(shingle_hashes(text, width)), _odd(0, CHECK_WORDS))
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH) -> DataFrame:
+def sketches(df: DataFrame, shape: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH) -> DataFrame:
     words = [f"f{i}" for i in range(CHECK_WORDS)]
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        content, keys, check = zip(*[_sketch(t, width) for t in batch.column(1).to_pylist()], strict=True)
-        keys = pa.ListArray.from_arrays(np.arange(0, BLOCKS * len(keys) + 1, BLOCKS, dtype=np.int32), np.concatenate(keys))
+        content, keys, check = zip(*[_sketch(t, width, shape) for t in batch.column(1).to_pylist()], strict=True)
+        keys = pa.ListArray.from_arrays(np.arange(0, shape[0] * len(keys) + 1, shape[0], dtype=np.int32), np.concatenate(keys))
         check = np.stack(check).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), keys, *[pa.array(check[:, i]) for i in range(CHECK_WORDS)]], names=["doc_id", "content", "keys", *words])
 
@@ -323,11 +344,13 @@ def _verified_links(df: DataFrame, loose: DataFrame, id_col: str, text_col: str,
     return pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(links, "a long, b long")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY, hot_bucket: int = WIDE_BUCKET) -> DataFrame:
     """(doc_id, component_id): one row for each row of df.  Texts of equal words are one class; classes whose shingles'
-    similarity is ``similarity`` or more are linked (99 % of such pairs share a block)."""
+    similarity is ``similarity`` or more are linked (99 % of such pairs share a block).  Null and empty texts are one
+    class, linked with no other.  Very long texts count whole; a table without rows gives none; only the two named columns
+    are read, so others may have any name; rows with a null id form no link and have a null component."""
     words = [f"f{i}" for i in range(CHECK_WORDS)]
-    marked = materialize(sketches(df, id_col, text_col, width), "sketches")
+    marked = materialize(sketches(df, block_shape(df.count(), similarity), id_col, text_col, width), "sketches")
     nodes = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
     nodes = materialize(nodes, "sketch-classes")
     keyed = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
