@@ -36,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> str:
-    """Writes df as Parquet to a fresh path in the shared folder and returns the path."""
-    path = f"{shared_dir(df.sparkSession)}/lectern/{name}-{uuid.uuid4().hex}"
+    """Writes df as Parquet to a fresh path in the shared folder, below the application's own, and returns the path."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
@@ -48,6 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(save(df, name))
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application saved; results that still read it are lost."""
+    remove(spark, scratch_dir(spark))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table written by save()."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

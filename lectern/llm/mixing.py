@@ -11,9 +11,15 @@
 4. A shard with quota q takes each block q div n times and q mod n blocks once more, chosen by a seeded permutation of
    the block numbers.  A document gets the words of its blocks, so at most twice its size.
 
-Null texts have size 0 and take 0.  Repeated rows are separate documents.  An empty table gives an empty result.
-Only words and ids are shuffled, never texts.  The tables of sources and shards are joined without hints: they are
-broadcast only if their size at run time allows it, and a hot source is split by the adaptive skew join otherwise.
+Null texts have size 0 and take 0.  Repeated rows are separate documents; rows that repeat an id lie in one shard, in
+the order of their sizes.  Equal quotients go to the first source by name, or the first shard by number.  Very long texts
+lie in one shard, which then has more words.  An empty table gives an empty result; columns that aren't named, whatever
+their names, play no part.
+
+Any number of sources and shards will do: running sums and ranks over all of them are made by ranges, none in one task.
+Only words and ids are shuffled, never texts (whole documents once, where they are wanted).  The tables of sources and
+shards are joined without hints: they are broadcast only if their size at run time allows it, and a hot source is split
+by the adaptive skew join otherwise.
 """
 
 from __future__ import annotations
@@ -41,41 +47,65 @@ def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with, for each of sums, its total over the rows before in the order, which no two rows share a place in.  Rows
+    are dealt by ranges of the order, and what stands in a range is written with it; only one row a range meets in one
+    task."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_range").alias("_of"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(starts, F.col("_range") == F.col("_of"))
+    return joined.select(*df.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, n_docs, target, full): one row for each source; full means the target is the limit."""
+    source = F.col("source").asc_nulls_last()
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weighed = totals.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)).withColumn("limit", F.col("source_size") * float(most))
-    everyone = Window.partitionBy()
-    before = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    shared = weighed.withColumn("total", F.sum("source_size").over(everyone) * share)
-    shared = shared.withColumn("left", F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-    shared = shared.withColumn("weights_left", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    shared = shared.withColumn("full", F.col("limit") * F.col("weights_left") <= F.col("weight") * F.col("left"))
-    given = F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0.0)).over(everyone)
-    open_weight = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(everyone)
-    target = F.when(F.col("full"), F.col("limit")).otherwise(F.col("weight") * (F.col("total") - given) / F.nullif(open_weight, F.lit(0.0)))
+    turned = running(totals, [source], {"turn": F.lit(1)}, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    weighed = turned.withColumn("weight", weight).drop("turn").withColumn("limit", F.col("source_size") * float(most))
+    weighed = running(weighed.withColumn("ratio", F.col("limit") / F.col("weight")), [F.col("ratio"), source], {"limits": F.col("limit"), "weights": F.col("weight")}, "limits")
+    weighed = materialize(weighed, "weighed")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()  # one row
+    total, all_weight = (whole["size"] or 0) * share, whole["weight"] or 0.0
+    left = F.lit(total) - F.col("limits")
+    shared = weighed.withColumn("full", F.col("limit") * (F.lit(all_weight) - F.col("weights")) <= F.col("weight") * left)
+    rest = shared.agg(F.sum(F.when(F.col("full"), F.col("limit"))).alias("given"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("weight")).first()
+    target = F.when(F.col("full"), F.col("limit")).otherwise(F.col("weight") * (total - (rest["given"] or 0.0)) / F.lit(rest["weight"] or 1.0))
     return shared.select("source", "source_size", "n_docs", target.alias("target"), "full")
 
 
 def sainte_lague(claims: DataFrame, group: list[str], tie: list[str]) -> DataFrame:
     """Adds ``quota`` long to claims(claim double, limit long, seats long, ...): in each group, ``seats`` seats go to
-    the highest quotients claim / (2 k + 1), k < limit.  The claims of a group must sum to about its seats.
+    the highest quotients claim / (2 k + 1), k < limit; of equal ones to the first by tie.  The claims of a group must sum
+    to about its seats.
 
     A divisor that hands out the seats differs from 1 by at most rows / (2 seats); the seats below that band are sure,
-    those above it impossible, so a row makes few quotients and a group as many as a small multiple of its rows.
+    those above it impossible, so a row makes few quotients and a group as many as a small multiple of its rows.  A group
+    may have any number of rows: its quotients are ranked by ranges, not in one task.
     """
-    whole = Window.partitionBy(*group)
-    band = claims.withColumn("_r", F.col("claim") * F.count("*").over(whole) / F.greatest(F.col("seats"), F.lit(1)) + 3)
+
+    def with_group(df: DataFrame, found: DataFrame) -> DataFrame:
+        named = found.select(*[F.col(c).alias(f"_g_{c}") for c in group], *[c for c in found.columns if c not in group])
+        same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+        return df.join(named, same).drop(*[f"_g_{c}" for c in group])
+
+    band = with_group(claims, claims.groupBy(*group).agg(F.count("*").alias("_rows")))
+    band = band.withColumn("_r", F.col("claim") * F.col("_rows") / F.greatest(F.col("seats"), F.lit(1)) + 3)
     band = band.withColumn("_low", F.greatest(F.lit(0), F.least(F.col("limit"), F.floor(F.col("claim") - F.col("_r")))).cast("long"))
     band = band.withColumn("_high", F.greatest(F.col("_low"), F.least(F.col("limit"), F.floor(F.col("claim") + F.col("_r")))).cast("long"))
-    band = band.withColumn("_free", F.col("seats") - F.sum("_low").over(whole))
+    band = materialize(band, "bands")
+    free = band.groupBy(*group).agg((F.first("seats") - F.sum("_low")).alias("_free"))
     some = F.when(F.col("_high") > F.col("_low"), F.sequence(F.col("_low"), F.col("_high") - 1)).otherwise(F.array().cast("array<bigint>"))
-    raced = band.select(*group, *tie, "_free", F.explode(some).alias("_k"), "claim").withColumn("_q", F.col("claim") / (2 * F.col("_k") + 1))
-    order = Window.partitionBy(*group).orderBy(F.col("_q").desc(), *[F.col(c).asc_nulls_last() for c in tie], "_k")
     keys = list(dict.fromkeys(group + tie))
-    won = raced.withColumn("_n", F.row_number().over(order)).where("_n <= _free").groupBy(*keys).agg(F.count("*").alias("_won"))
+    raced = band.select(*keys, F.explode(some).alias("_k"), "claim").withColumn("_q", F.col("claim") / (2 * F.col("_k") + 1))
+    order = [*[F.col(c).asc_nulls_last() for c in group], F.col("_q").desc(), *[F.col(c).asc_nulls_last() for c in tie], F.col("_k")]
+    placed = materialize(running(raced, order, {"_n": F.lit(1)}, "quotients"), "ranked")
+    within = with_group(placed, placed.groupBy(*group).agg(F.min("_n").alias("_first")).join(free.select(*[F.col(c).alias(f"_f_{c}") for c in group], "_free"), [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in group]).select(*group, "_first", "_free"))
+    won = within.where("_n - _first < _free").groupBy(*keys).agg(F.count("*").alias("_won"))
     won = won.select(*[F.col(k).alias(f"_{k}") for k in keys], "_won")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     out = band.join(won, same, "left").withColumn("quota", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0)))
@@ -98,7 +128,8 @@ def quotas(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     sources = shards.groupBy("source").agg(F.sum("blocks").alias("source_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("full").alias("full"))
     claim = F.coalesce(F.col("target") * F.col("source_blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     open_ = sources.where("not full").withColumn("claim", claim).withColumn("limit", MOST * F.col("source_blocks"))
-    open_ = open_.withColumn("all", F.lit(0)).withColumn("seats", F.round(F.sum("claim").over(Window.partitionBy("all"))).cast("long"))
+    seats = round(open_.agg(F.sum("claim")).first()[0] or 0.0)  # one number
+    open_ = open_.withColumn("all", F.lit(0)).withColumn("seats", F.lit(seats).cast("long"))
     given = sainte_lague(open_.select("all", "source", "source_blocks", "claim", "limit", "seats"), ["all"], ["source"])
     full = sources.where("full").select("source", "source_blocks", (MOST * F.col("source_blocks")).alias("quota"))
     by_source = given.select("source", "source_blocks", "quota").union(full).select(F.col("source").alias("_source"), "source_blocks", F.col("quota").alias("seats"))

@@ -26,3 +26,11 @@ def test_saved_tables_are_in_the_shared_folder(spark):
     assert path.startswith(common.shared_dir(spark)) and spark.read.parquet(path).count() == 3
     common.remove(spark, path)
     assert common.materialize(spark.range(0), "y").count() == 0
+
+
+def test_clear_deletes_what_the_application_saved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    path = common.save(spark.range(3), "x")
+    assert spark.read.parquet(path).count() == 3
+    common.clear(spark)
+    assert not (tmp_path / "lectern" / spark.sparkContext.applicationId).exists()

@@ -126,3 +126,21 @@ def test_whole_documents_of_odd_rows(spark):
     got = mixing.mixed_documents(df)
     assert got.dtypes == df.dtypes and {r.doc_id for r in got.collect()} <= {3, None, 4}
     assert mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mixed_documents(df.where("doc_id = 1")).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i * 7919 % 1009, float(i % 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(5)
+    got = {r.k: (r.n, r.s) for r in mixing.running(df, [F.col("k").desc()], {"n": F.lit(1), "s": F.col("x")}, "t").collect()}
+    n, total, want = 0, 0.0, {}
+    for k, x in sorted(rows, reverse=True):
+        want[k] = (n, total)
+        n, total = n + 1, total + x
+    assert got == want
+
+
+def test_plans_have_no_window_over_all_rows(spark):
+    """The only windows without a key run over one row a range."""
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 9).alias("source"))
+    plan = mixing.targets(mixing.sizes(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
