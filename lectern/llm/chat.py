@@ -10,8 +10,9 @@ bracket) one backslash is put in; taking one out gives the text back exactly, so
 
 Order: turn (null first), then role and content, so repeated turns have a defined order and all stay.  Null text, role
 and type are the empty string, empty and ``text``; a turn without parts has an empty body; a null conversation id is a
-conversation.  An empty table gives an empty result.  A conversation is one string, so it must fit a task; conversations
-are never gathered with one another.
+conversation.  An empty table gives an empty result.  Only the named columns are read, so others may have any name.  A
+conversation, however long its turns, is one string, so it must fit a task; conversations are never gathered with one
+another.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ a hash of the id; only their statistics are collected) and score the written sta
 
 A document fails the base if n_words < 50 or 100 * n_repeat_words > 50 * n_words; otherwise the trees decide: it is kept
 if its score is at least ``THRESHOLD``.  Repeated rows are scored alike; labels that repeat an id count once (the
-lowest); without labels the trees are a constant that keeps everything the base keeps.  Empty tables give empty results.
+lowest); without labels the trees are a constant that keeps everything the base keeps.  A score equal to ``THRESHOLD``
+keeps.  Texts of any length are read whole, in one pass.  Only the named columns are read, so others may have any name.
+Empty tables give empty results.
 """
 
 from __future__ import annotations

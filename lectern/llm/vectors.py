@@ -9,8 +9,9 @@
    neighbours are sampled as the method does; a list is a means of search and no bound on results: every comparison
    of 2 and 3 also gives its links, as a spanning forest.
 4. These links form components.  A list full of links is saturated: it is enlarged to its whole component, in which
-   all pairs are compared, in blocks of ``BLOCK`` classes, so that no task holds more than two blocks and only counts
-   leave a task.
+   all pairs are compared, in blocks of at most ``BLOCK`` classes; of ``SMALL_BLOCK`` or more in components of up to
+   ``SPREAD`` blocks, so that one large component is many tasks.  No task holds more than two blocks, of whose cosines
+   ``TILE`` rows at once, and only counts leave a task.  A component of m classes sends m * m / ``BLOCK`` vectors.
 5. Audit: the links of classes chosen by a hash of the id are found by comparing them with every class of their label.
    More classes are asked until ``EVIDENCE`` groups of links were met, all classes or ``AUDIT_MOST`` were asked.  Recall
    is weighed by link, by class and by group, where a class of n links counts as a share 1 / (n + 1) of one; the least
@@ -18,7 +19,12 @@
    follow; after ``MAX_AUDITS`` a lower recall is an error, and too little evidence a warning.
 
 Cosines are computed in double precision from the given components; no link is below the threshold.  The search may
-miss links between components; inside a component counts are exact.  Repeated rows are vectors of their own.
+miss links between components; inside a component counts are exact.  Labels are told apart by a 64-bit hash.
+
+Repeated rows are vectors of their own; equal vectors of a label are compared once, however many they are.  Rows that
+repeat an id with other vectors are vectors of their own too.  Of equally near neighbours any may stand in a list: lists
+are a means of search, and links don't depend on them.  An empty table gives an empty result.  Only the three named
+columns are read, so others may have any name; vectors may have any length, and only those of one length are compared.
 """
 
 from __future__ import annotations
@@ -46,7 +52,11 @@ PROPOSALS = 3
 MAX_ROUNDS = 4
 #: The descent ends when fewer than this share of list entries are new.
 SETTLED = 0.03
-BLOCK = 1024
+BLOCK = 4096
+SMALL_BLOCK = 128
+SPREAD = 8
+#: Rows of a block whose cosines with another block are held at once.
+TILE = 512
 #: Classes asked at once, first and then, and in all.
 AUDIT = 2000
 AUDIT_NEXT = 8000
@@ -291,11 +301,15 @@ def _counts(kind: str, threshold: float):
             x = _matrix(group.column("vec"), kind)
             one = np.flatnonzero(side == group.column("i")[0].as_py())
             two = np.flatnonzero(side == group.column("j")[0].as_py())
-            near = _cosines(x[one], x[two]) >= threshold
-            near &= ids[one][:, None] != ids[two]
-            parts.append((ids[one], near @ n[two]))
-            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-                parts.append((ids[two], n[one] @ near))
+            apart, theirs = group.column("i")[0].as_py() != group.column("j")[0].as_py(), np.zeros(len(two), np.int64)
+            for at in (one[k : k + TILE] for k in range(0, len(one), TILE)):
+                near = _cosines(x[at], x[two]) >= threshold
+                near &= ids[at][:, None] != ids[two]
+                parts.append((ids[at], near @ n[two]))
+                if apart:
+                    theirs += n[at] @ near
+            if apart:
+                parts.append((ids[two], theirs))
             if sum(len(p[0]) for p in parts) > 1 << 15:
                 yield _emit(parts, ["id", "links"])
                 parts = []
@@ -306,8 +320,9 @@ def _counts(kind: str, threshold: float):
 
 
 def count_links(points: DataFrame, named: DataFrame, kind: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, links): exact inside each component; a component of m classes is (m / block)**2 / 2 bounded tasks."""
-    sizes = named.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    """(id, links): exact inside each component; a component of m classes is (m / block)**2 / 2 bounded tasks or more."""
+    needed, spread = F.ceil(F.count("*") / block), F.least(F.lit(SPREAD), F.ceil(F.count("*") / SMALL_BLOCK))
+    sizes = named.groupBy("component").agg(F.greatest(needed, spread).cast("int").alias("blocks"))
     placed = points.join(named, points["id"] == named["node"]).join(sizes, "component").select("component", "blocks", "id", "vec", "n", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("side"))
     other = placed.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "side", "id", "vec", "n")
     pairs = other.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "vec", "n")

@@ -39,6 +39,16 @@ def test_parts_attachments_and_spans(spark):
     assert (two.n_turns, two.formatted, two.loss_spans, two.n_tokens_expanded) == (1, "<|turn|><|says|><|end|>", [], 0)
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", text(f"turn {t} <|end|> " * 20)) for t in range(3000)] + [(2, 0, "assistant", text("word " * 200_000))]
+    df = spark.createDataFrame([(*r, "f", 1, "t") for r in rows], SCHEMA)
+    got = {r.conv_id: r for r in chat.digest(chat.format_chat(df)).collect()}
+    said = ["".join(f"turn {t} <|end|> " * 20 for t in range(1, 3000, 2)), "word " * 200_000]
+    for i, loss in enumerate(said, 1):
+        assert (got[i].loss_chars, got[i].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[1].n_turns == 3000
+
+
 def test_ties_nulls_and_empty_table(spark):
     rows = [(None, 1, "user", text("b")), (None, 1, "user", text("b")), (None, 1, "user", text(None)), (None, None, "assistant", text("first 😀"))]
     df = spark.createDataFrame([(*r, "f", 1, "t") for r in rows], SCHEMA)

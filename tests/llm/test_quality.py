@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +66,25 @@ def test_repeat_words_pairs_numbered_first():
     assert n == plain(b" ".join(words).decode())[4] and distinct == 12
 
 
+def test_a_score_equal_to_the_threshold_keeps(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, words, "k", "s", 1)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    score = quality.judge(docs, none).first().score
+    assert quality.judge(docs, none, threshold=score).first().kept and not quality.judge(docs, none, threshold=np.nextafter(score, 2)).first().kept
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join(f"line {i % 7000} with some words of its own {i}" for i in range(60_000))
+    r = quality.judge(spark.createDataFrame([(1, text, "", "", 0)], SCHEMA), spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert (r.n_words, r.word_chars) == (len(text.split()), sum(map(len, text.split())))
+    words = text.split()
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    times = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    assert r.n_repeat_words == len(covered)
+
+
 def test_nulls_repeats_clashing_names_and_empty(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     rows = [(1, None, "x", "y", 1), (2, "a b " * 200, None, None, None), (2, "a b " * 200, None, None, None), (None, " ".join(map(str, range(9000))), "", "", 0)]

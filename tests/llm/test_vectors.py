@@ -102,3 +102,25 @@ def test_low_recall_is_an_error(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    """Many equal vectors, and many at the same distance, beside columns with the operator's own names."""
+    axes = np.eye(16)
+    rows = [(i, (axes[i % 16] + 0.2 * axes[(i + 1) % 16]).tolist(), 0, "g", 1, "c") for i in range(64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, grp string, n int, component string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {i: (3, i % 16) for i in range(64)}
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_counts_in_blocks_are_exact(spark, block):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=24)
+    x = [centre + 0.25 * rng.normal(size=24) for _ in range(700)]
+    points = spark.createDataFrame([(i, 1, v.tobytes(), 1 + i % 3) for i, v in enumerate(x)], "id long, grp long, vec binary, n long")
+    named = spark.createDataFrame([(i, 0) for i in range(700)], "node long, component long")
+    got = {r.id: r.links for r in vectors.count_links(points, named, "<f8", 0.93, block).collect()}
+    unit = np.array([v / np.linalg.norm(v) for v in x])
+    near = (unit @ unit.T >= 0.93) & ~np.eye(700, dtype=bool)
+    assert got == dict(enumerate((near @ np.array([1 + i % 3 for i in range(700)])).tolist()))
