@@ -167,7 +167,8 @@ def _link_sorted(bits: int):
 
 def _bucket_links(keyed: DataFrame, bits: int) -> DataFrame:
     """keyed: (key, node, words of the fingerprint)."""
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    # By node too: walks then begin at the least node, so that buckets with the same rows give the same links.
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(_link_sorted(bits), "a long, b long")
 
 
@@ -200,7 +201,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # touch.  Where a passage was added, cut or replaced the two-word similarity is ``SIMILARITY`` too; blocks are sized for
 # that: such a pair shares one with a chance of ``CHANCE``.  A block has as many bits as the number of rows, so that the
 # mean bucket doesn't grow with the corpus, and as many blocks as the chance then asks for (``block_shape``); a bucket of
-# more than ``WIDE_BUCKET`` rows is dealt out as pairs of chunks.  The Hamming distance of 256-bit
+# more than ``WIDE_BUCKET`` rows is dealt out as pairs of chunks.  The Hamming distance of 128-bit
 # fingerprints of five-word shingles (each once), its limit ``DEVIATIONS`` standard deviations beyond what ``SIMILARITY``
 # gives, then leaves loose groups.  Inside each group the exact share of common shingles decides, so no pair below
 # ``SIMILARITY`` is linked.
@@ -214,11 +215,13 @@ BLOCK_BITS = 18
 CHANCE = 0.99
 #: Rows of a bucket that are compared with one another in one task.
 WIDE_BUCKET = 1 << 14
-CHECK_WORDS = 4
+CHECK_WORDS = 2
 DEVIATIONS = 4.0
 #: Texts, and shingles, of a loose group that are compared at once with as many others.
-CHUNK_TEXTS = 512
+CHUNK_TEXTS = 256
 CHUNK_SHINGLES = 1 << 19
+#: The most bits of the filter that keeps texts outside loose groups from being shuffled (16 MB).
+FILTER_BITS = 27
 
 
 def _odd(first: int, n: int) -> np.ndarray:
@@ -290,58 +293,104 @@ def _in_chunks(keyed: DataFrame, hot_bucket: int) -> DataFrame:
     return keyed.join(hot, "key", "left_anti").union(rows.select(key.alias("key"), *keyed.columns[1:]))
 
 
-def _exact_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links of the pairs whose sets, none empty, have a Jaccard similarity of ``similarity`` or more."""
-    sizes = np.array([len(x) for x in sets])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    cells = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(len(cells), np.int32)
-    rest = np.arange(len(sets))
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            f = front.pop()
-            mine = cells[starts[f] : starts[f] + sizes[f]]
-            mark[mine] = 1
-            common = np.add.reduceat(mark[cells], starts)[rest]
-            mark[mine] = 0
-            near = common >= similarity * (sizes[f] + sizes[rest] - common) - 1e-9
-            if near.any():
-                yield np.full(int(near.sum()), nodes[f]), nodes[rest[near]]
-                front.extend(rest[near].tolist())
-                rest = rest[~near]
+class _Sets:
+    """Sets of shingles, none empty, of which one at a time is compared with some others."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        self.cells = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.mark = np.zeros(len(self.cells), np.int32)
+        self.similarity = similarity
+
+    def near(self, f: int, others: np.ndarray) -> np.ndarray:
+        """Whether each of the others has a Jaccard similarity of at least ``similarity`` with f."""
+        mine = self.cells[self.starts[f] : self.starts[f] + self.sizes[f]]
+        self.mark[mine] = 1
+        if 8 * len(others) >= len(self.sizes):
+            common = np.add.reduceat(self.mark[self.cells], self.starts)[others]
+        else:
+            common = np.array([self.mark[self.cells[self.starts[i] : self.starts[i] + self.sizes[i]]].sum() for i in others], np.int64)
+        self.mark[mine] = 0
+        return common >= self.similarity * (self.sizes[f] + self.sizes[others] - common) - 1e-9
+
+    def walk(self, rest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(one, those first reached from it): spanning links of the near pairs among rest."""
+        while len(rest) > 1:
+            front, rest = [int(rest[0])], rest[1:]
+            while front and len(rest):
+                f = front.pop()
+                near = self.near(f, rest)
+                if near.any():
+                    yield f, rest[near]
+                    front.extend(rest[near].tolist())
+                    rest = rest[~near]
+
+
+def _chunk_links(side: np.ndarray, sets: _Sets) -> Iterator[tuple[int, int]]:
+    """Links of a chunk with itself, or between two, where what is linked inside each already counts as one: as many
+    links as there are such parts, less one, at most."""
+    chunks = [np.flatnonzero(side == x) for x in np.unique(side)]
+    if len(chunks) == 1:
+        for f, reached in sets.walk(chunks[0]):
+            yield from ((f, i) for i in reached.tolist())
+        return
+    part = np.arange(len(side))
+    for chunk in chunks:
+        for f, reached in sets.walk(chunk):
+            part[reached] = part[f]
+    one, two = chunks
+    for f in one.tolist():
+        if not len(open_ := two[part[two] != part[f]]):
+            continue
+        for i in open_[sets.near(f, open_)].tolist():
+            if part[i] != part[f]:
+                yield f, i
+                part[part == part[i]] = part[f]
 
 
 def _verified_links(df: DataFrame, loose: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """loose: (grp, node, content).  Returns (a, b): links whose components are those of all pairs of one loose group
-    with an exact similarity of ``similarity`` or more.  A large group is dealt out as pairs of chunks."""
+    with an exact similarity of ``similarity`` or more.  A large group is dealt out as pairs of chunks.
+
+    Sets are made where the texts are, for the ids that a filter of at most 2**``FILTER_BITS`` bits lets through; only
+    sets are shuffled.  The filter loses none; beyond its size it lets more through than needed.
+    """
+    spark = df.sparkSession
+    bits = min(FILTER_BITS, max(15, (16 * loose.count()).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    found = loose.select(F.floor(place / 32768).cast("int").alias("k"), (place % 32768).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits"))
+    held = np.zeros(1 << (bits - 3), np.uint8)
+    for r in found.collect():  # 4 KB for each 2**15 bits of the filter
+        held[4096 * r["k"] : 4096 * (r["k"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    filter_ = spark.sparkContext.broadcast(held)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grp, node, content, text = (batch.column(i).to_pylist() for i in range(4))
-        at = [i for i, t in enumerate(text) if _content(t) == content[i]]  # other rows may repeat the id
-        found = [np.unique(shingle_hashes(text[i], width)) for i in at]
-        columns = [[grp[i] for i in at], [node[i] for i in at], [content[i] for i in at]]
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in found], pa.binary())], names=["grp", "node", "content", "shingles"])
+        at = np.asarray(batch.column(1))
+        batch = batch.filter(pa.array(filter_.value[at >> 3] >> (at & 7) & 1).cast(pa.bool_()))
+        texts = batch.column(2).to_pylist()
+        shingles = pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_content, texts), pa.binary()), shingles], names=["id", "of", "shingles"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
             if group.num_rows < 2:
                 continue
             nodes = np.asarray(group.column("node"))
-            for a, b in _exact_links(nodes, [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    texts = id_and_text(df, id_col, text_col).join(loose, F.col("doc_id") == F.col("node")).select("grp", "node", "content", "text")
-    found = map_texts(texts, sets, "grp long, node long, content binary, shingles binary").dropDuplicates(["content"])
-    found = materialize(found.where(F.octet_length("shingles") > 0), "shingle-sets")
+            made = _Sets([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity)
+            pairs = np.array([*_chunk_links(np.asarray(group.column("mine")), made)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+
+    rows = id_and_text(df, id_col, text_col).where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at"), "text")
+    made = map_texts(rows, sets, "id long, of binary, shingles binary").where(F.octet_length("shingles") > 0)
+    same = (F.col("id") == F.col("node")) & (F.col("of") == F.col("content"))  # other rows may repeat the id
+    found = materialize(made.join(loose, same).select("grp", "node", "content", "shingles").dropDuplicates(["content"]), "shingle-sets")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum(F.octet_length("shingles")) / (8 * CHUNK_SHINGLES))).cast("int")
     sizes = found.groupBy("grp").agg(chunks.alias("chunks"))
     placed = found.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = placed.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles")
-    return pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(links, "a long, b long")
+    pairs = placed.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "shingles")
+    return pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(links, "a long, b long")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_WIDTH, similarity: float = SIMILARITY, hot_bucket: int = WIDE_BUCKET) -> DataFrame:
@@ -351,9 +400,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     are read, so others may have any name; rows with a null id form no link and have a null component."""
     words = [f"f{i}" for i in range(CHECK_WORDS)]
     marked = materialize(sketches(df, block_shape(df.count(), similarity), id_col, text_col, width), "sketches")
-    nodes = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
-    nodes = materialize(nodes, "sketch-classes")
-    keyed = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
+    sketched = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
+    keyed = sketched.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
+    nodes = materialize(marked.groupBy("content").agg(F.min("doc_id").alias("node")), "classes")
     loose = connected_components(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity, deviations=DEVIATIONS)))
     loose = materialize(nodes.join(loose, "node").select(F.col("component").alias("grp"), "node", "content"), "loose-groups")
     links = _verified_links(df, loose, id_col, text_col, width, similarity)

@@ -184,7 +184,7 @@ def test_very_long_texts(spark):
 
 
 def test_bits_for():
-    assert simhash.bits_for(0.8) == 45 and simhash.bits_for(1.0) == 0
+    assert simhash.bits_for(0.8, 256) == 45 and simhash.bits_for(1.0) == 0
 
 
 def test_pairs_below_the_similarity_are_left_alone(spark):
