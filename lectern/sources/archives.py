@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import increments
+from lectern.sources import files
+
 _ENTRY = (1980, 1, 1, 0, 0, 0)
 
 
@@ -43,23 +46,25 @@ def build_archives(courses: DataFrame, suffix: str = ".pack", created_at: str |
 
 
 def write_archives(archives: DataFrame, directory: str) -> int:
-    """Writes the archives through Hadoop's file systems, one at a time; returns their number."""
-    spark = archives.sparkSession
-    base = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(base)
-    n = 0
-    for row in archives.toLocalIterator():
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(base, row["file"]), True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        n += 1
+    """Writes the archives from where they were built; returns their number."""
+    return files.write_files(archives, directory).count()
+
+
+def extract_new(spark: SparkSession, path: str, directory: str, suffix: str = ".pack", keep: bool = True) -> int:
+    """Writes the members of zip files that end in suffix and aren't in the directory at equal size; returns their number.
+    keep=False deletes the zip files afterwards.  Contents are read again for the members that are wanted only."""
+    found = members(spark, path)
+    wanted = increments.to_extract(found.select("member", "file_size"), files.listed(spark, directory), suffix)
+    rows = found.join(wanted.select("member", "rel_path").distinct(), "member").select(F.col("rel_path").alias("file"), "content")
+    n = files.write_files(rows, directory).count()
+    if not keep:
+        files.remove(spark, path)
     return n
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, file_size, content) of zip files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    zips = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +73,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                     for info in archive.infolist():
                         yield pa.RecordBatch.from_pydict({"archive": [row["path"]], "member": [info.filename], "file_size": [info.file_size], "content": [archive.read(info)]})
 
-    return files.mapInArrow(run, "archive string, member string, file_size long, content binary")
+    return zips.mapInArrow(run, "archive string, member string, file_size long, content binary")
 
 
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
@@ -81,3 +86,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
     return rows.select(F.col("r")[0].alias("slug"), F.col("r")[1].alias("date"), F.col("r")[2].alias("title"))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The triples as one JSON array, in order; a manifest is small."""
+    rows = sorted((r["slug"], r["date"], r["title"]) for r in manifest.collect())
+    text = json.dumps([list(r) for r in rows], ensure_ascii=False)
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    one = manifest.sparkSession.createDataFrame([(name, bytearray(text.encode()))], "file string, content binary")
+    files.write_files(one, folder).count()

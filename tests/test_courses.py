@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lectern import cli
 from lectern.operators import catalog, courses, increments, lessons
 from lectern.plans.course import build_courses, describe, spoken_units
-from lectern.sources import archives, lesson_files
+from lectern.sources import archives, files, lesson_files
 from lectern.streaming import lesson_stream
 
-LONG = "The Do Hiemon Box went on sale in April for 1.5 million yen (around  $9,200), but they are also available to rent at 300,000 yen ($1,800) a month."
+LONG = "The Long Ferry Line was sold in May for 2.4 million francs (about  $7,300), and its oldest boats are now for hire at 120,000 pesos ($6,900) a week."
 
 
 def test_segments_show_numbers_and_say_words(spark):
@@ -21,9 +21,9 @@ def test_segments_show_numbers_and_say_words(spark):
     rows = units.where("seg_pos >= 0").orderBy("seg_pos").collect()
     shown, said = " ".join(r.text for r in rows), " ".join(r.tts for r in rows)
     assert len(rows) == 4
-    for number in ("1.5 million", "$9,200", "300,000", "$1,800"):
+    for number in ("2.4 million", "$7,300", "120,000", "$6,900"):
         assert number in shown
-    for words in ("one point five million", "nine thousand two hundred dollars", "three hundred thousand yen", "one thousand eight hundred dollars"):
+    for words in ("two point four million", "seven thousand three hundred dollars", "one hundred twenty thousand pesos", "six thousand nine hundred dollars"):
         assert words in said and words not in shown
     assert units.where("seg_pos = -1").first().text == LONG
 
@@ -158,3 +158,49 @@ def test_stream_takes_only_what_is_new(spark, folder, tmp_path):
         assert spark.read.parquet(out).count() == n
         (folder / "new.txt").write_text("It is 2.5 now")
     assert spark.read.parquet(out).where("tts = 'It is two point five now'").count() == 1
+
+
+def test_files_are_written_where_their_rows_are(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a b/{i}.x", bytearray(b"x" * i)) for i in range(1, 21)], "file string, content binary").repartition(3)
+    for base in (str(tmp_path / "out"), f"file://{tmp_path}/out"):
+        assert sorted(tuple(r) for r in files.write_files(rows, base).collect()) == sorted((f"a b/{i}.x", i) for i in range(1, 21))
+    assert sorted(tuple(r) for r in files.listed(spark, str(tmp_path / "out")).collect()) == sorted((f"a b/{i}.x", i) for i in range(1, 21))
+    assert not [p for p in (tmp_path / "out").rglob(".*") if "_" in p.name]
+    assert files.listed(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="(?i)scheme|unrecognized|filesystem"):
+        files.write_files(rows, "nothing://x/y")
+
+
+def test_extraction_writes_only_what_is_missing(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        for name, text in (("All/a/x.pack", "abc"), ("All/b/y.pack", "abcd"), ("All/readme.txt", "no"), ("All/../../evil.pack", "e")):
+            z.writestr(name, text)
+    (tmp_path / "out/a").mkdir(parents=True)
+    (tmp_path / "out/a/x.pack").write_text("abc")
+    assert archives.extract_new(spark, str(tmp_path / "all.zip"), str(tmp_path / "out")) == 2
+    assert {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*.pack")} == {"a/x.pack": "abc", "b/y.pack": "abcd", "evil.pack": "e"}
+    assert archives.extract_new(spark, str(tmp_path / "all.zip"), str(tmp_path / "out"), keep=False) == 0
+    assert not (tmp_path / "all.zip").exists()
+
+
+def test_manifest_of_converted_lessons(spark, folder, tmp_path):
+    lessons, out, manifest = lesson_files.read_lessons(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "m.json")
+    titles = lambda: sorted(x[2] for x in json.loads((tmp_path / "m.json").read_text()))
+    assert cli.convert_new(spark, lessons, out, manifest, "2026-01-01", limit=1, category="given") == 2  # of each category
+    assert titles() == ["culture-society/a.txt", "other/deep/a.txt"]
+    assert cli.convert_new(spark, lessons, out, manifest, "2026-01-02", category="given") == 1
+    assert titles() == ["culture-society/a.txt", "other/deep/a.txt", "top.txt"]  # the empty one has no archive
+    assert cli.convert_new(spark, lessons, out, manifest, "2026-01-03", category="given") == 0
+    assert cli.convert_new(spark, lessons, out, manifest, "2026-01-04", rebuild=True, category="given") == 3
+    assert len(titles()) == 3 and {x[1] for x in json.loads((tmp_path / "m.json").read_text())} == {"2026-01-04"}
+    cli.convert_new(spark, lessons, out, manifest, "2026-01-05", verify=False, category="given")
+    assert "other/empty.txt" in titles()
+
+
+def test_nothing_to_convert_is_an_error_with_a_message(spark, tmp_path, capsys):
+    (tmp_path / "none").mkdir()
+    assert cli.main([str(tmp_path / "none"), "-o", str(tmp_path / "out")]) == 1
+    assert "no lessons" in capsys.readouterr().err
+    (tmp_path / "empty.txt").write_text(" \n")
+    assert cli.main([str(tmp_path / "empty.txt"), "-o", str(tmp_path / "out")]) == 1
+    assert "No sentences" in capsys.readouterr().err
