@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import sentences as S
 from lectern.functions import spoken
 from lectern.functions.text import collapse
 from lectern.operators import catalog, courses, increments, lessons, pauses, segmenting, timing
 from lectern.plans import oracle as O
 from lectern.plans.course import build_courses
-from lectern.sources import archives, sounds
+from lectern.sources import archives, files, lesson_files, sounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The folder all executors share; where none is named, which only a single process may do, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.isLocal:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="lectern-")).rstrip("/")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -82,11 +91,11 @@ _TIGHT = """concat('Dr.Smith ', cast(doc_id as string), ' saw the market.The end
 _TIGHT_PARTS = ["Dr.Smith {} saw the market.", 'The end!"', 'Next" he said."', "Now go?", "Yes.", "At 3 p.m.", "Please come. p.m.Please ask Ph.", 'D. He or the U.S. The end of St. Paul? (he "yes." )']
 
 
-@query("select doc_id, unnest(range(0, len(l)))::int as sent_pos, unnest(l) as raw from (select doc_id, [" + ", ".join("'" + p.replace("{}", "' || doc_id || '") + "'" for p in _TIGHT_PARTS) + "] as l from documents)")
+@query("select doc_id, unnest(range(0, len(l)))::int as sent_id, unnest(l) as raw from (select doc_id, [" + ", ".join("'" + p.replace("{}", "' || doc_id || '") + "'" for p in _TIGHT_PARTS) + f"] as l from documents) union all select doc_id, (sent_id + {len(_TIGHT_PARTS)})::int, raw from ({O.SENTENCES})")
 def missing_spaces(spark, sf_dir):
-    """Sentences without a space after their end, abbreviations, initials and half-days."""
-    rows = _documents(spark, sf_dir).select("doc_id", F.expr(_TIGHT).alias("t"))
-    return rows.select("doc_id", F.posexplode(S.split_sentences(F.col("t"))).alias("sent_pos", "raw"))
+    """Sentences without a space after their end, abbreviations, initials and half-days, as the first line of each text."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.concat(F.expr(_TIGHT), F.lit("\n"), "text").alias("text"))
+    return lessons.sentences(rows, "doc_id")
 
 
 # --- markers and numbers --------------------------------------------------------------------------------------------
@@ -149,13 +158,6 @@ def segments(spark, sf_dir):
     return segmenting.explode_segments(_sentences(spark, sf_dir), "raw").select("doc_id", "sent_id", "seg_pos", "segment")
 
 
-@query(f"select doc_id, sent_id, raw as segment from ({O.SENTENCES}) where length(raw) <= 65")
-def short_segments(spark, sf_dir):
-    """Sentences of up to 65 characters are their only segment."""
-    rows = _sentences(spark, sf_dir).where(F.length("raw") <= segmenting.HARD_MAX)
-    return segmenting.explode_segments(rows, "raw").select("doc_id", "sent_id", "segment")
-
-
 # --- timing and silence ---------------------------------------------------------------------------------------------
 
 _WORDS_SQL = r"""
@@ -218,21 +220,22 @@ def pause_regions(spark, sf_dir):
     return spans.select("vec_id", *[F.round(c, 6).alias(c) for c in ("start_s", "end_s", "duration_s")])
 
 
-@query("select vec_id, len(embedding)::int as n_samples, 8000 as sr, round(len(embedding) / 8000.0, 9) as duration_s from embeddings")
+@query("select vec_id, len(embedding)::int as n_samples, 8000 as sr, round(len(embedding) / 8000.0, 9) as duration_s, list_transform(embedding, lambda x: round_even(greatest(-1, least(1, x::double / 8)) * 32767, 0)::int) as levels from embeddings")
 def sound_round_trip(spark, sf_dir):
     """Samples written as WAV bytes and read again."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", sounds.encode(F.transform("embedding", lambda x: x.cast("double") / 8), F.lit(8000)).alias("content"))
     read = rows.select("vec_id", sounds.decode(F.col("content")).alias("s"))
-    return read.select("vec_id", F.size("s.samples").alias("n_samples"), F.col("s.sr").alias("sr"), F.round("s.duration_s", 9).alias("duration_s"))
+    levels = F.transform("s.samples", lambda x: (x * 32768).cast("int"))
+    return read.select("vec_id", F.size("s.samples").alias("n_samples"), F.col("s.sr").alias("sr"), F.round("s.duration_s", 9).alias("duration_s"), levels.alias("levels"))
 
 
 # --- small dimensions -----------------------------------------------------------------------------------------------
 
-_SLUGS = [*catalog.CATEGORIES, "", "another"]
+_SLUGS = [*[slug for slug, _ in O.CATEGORIES], "", "another"]
 _SLUG = "element_at(array(" + ", ".join(f"'{s}'" for s in _SLUGS) + "), cast(doc_id % 7 + 1 as int))"
 _SLUG_SQL = "[" + ", ".join(f"'{s}'" for s in _SLUGS) + "][doc_id % 7 + 1]"
-_NAME_SQL = "case slug " + " ".join(f"when '{s}' then '{n}'" for s, n in catalog.CATEGORIES.items()) + " else slug end"
-_KNOWN_SQL = "(" + ", ".join(f"'{s}'" for s in catalog.CATEGORIES) + ")"
+_NAME_SQL = "case slug " + " ".join(f"when '{s}' then '{n}'" for s, n in O.CATEGORIES) + " else slug end"
+_KNOWN_SQL = "(" + ", ".join(f"'{s}'" for s, _ in O.CATEGORIES) + ")"
 
 
 def _slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,17 +252,17 @@ def category_detection(spark, sf_dir):
     return _slugs(spark, sf_dir).select("doc_id", catalog.detected_category(F.col("slug")).alias("detected"), catalog.batch_category(F.col("slug"), F.col("source")).alias("category"))
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{s}', '{n}', rpad('{s}', 25, ' ') || ' {n}')" for i, (s, n) in enumerate(catalog.CATEGORIES.items())) + ") as t(pos, slug, name, line)")
+@query("select * from (values " + ", ".join(f"({i}, '{s}', '{n}', rpad('{s}', 25, ' ') || ' {n}')" for i, (s, n) in enumerate(O.CATEGORIES)) + ") as t(pos, slug, name, line)")
 def category_list(spark, sf_dir):
     return catalog.categories(spark).withColumn("line", catalog.category_line(F.col("slug"), F.col("name")))
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(catalog.VOICES)) + ") as t(pos, voice)")
+@query("select * from (values " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(O.VOICES)) + ") as t(pos, voice)")
 def voice_list(spark, sf_dir):
     return catalog.voices(spark)
 
 
-@query(f"select doc_id, case when asked in ({', '.join(repr(v) for v in catalog.VOICES)}) then asked else '{catalog.VOICES[0]}' end as voice, asked is null or asked <> 'nobody' as known from (select doc_id, case doc_id % 3 when 0 then 'bm_leon' when 1 then 'nobody' end as asked from documents)")
+@query(f"select doc_id, case when asked in ({', '.join(repr(v) for v in O.VOICES)}) then asked else '{O.VOICES[0]}' end as voice, asked is null or asked <> 'nobody' as known from (select doc_id, case doc_id % 3 when 0 then 'bm_leon' when 1 then 'nobody' end as asked from documents)")
 def voice_choice(spark, sf_dir):
     asked = F.when(F.col("doc_id") % 3 == 0, "bm_leon").when(F.col("doc_id") % 3 == 1, "nobody")
     return _documents(spark, sf_dir).select("doc_id", catalog.voice(asked, catalog.VOICES).alias("v")).select("doc_id", "v.*")
@@ -275,7 +278,7 @@ def literal_speech(spark, sf_dir):
 # --- courses --------------------------------------------------------------------------------------------------------
 
 
-@query(f"select doc_id, sent_id as id, raw as text, printf('audio/sent_%04d.wav', sent_id) as audio, round(length(tts) * 0.06::double, 6) as duration_s from ({O.SENTENCES}) join (select key_id, tts from (with src as (select doc_id * 1000000 + sent_id as doc_id, raw as t from ({O.SENTENCES})), {O.NUMBER_WORDS}, {O._steps([r[0] for r in O.RULES])} select doc_id as key_id, t as tts from step_6)) on key_id = doc_id * 1000000 + sent_id")
+@query(O.COURSE_SENTENCES)
 def course_sentences(spark, sf_dir):
     """The sentences of nested courses."""
     built = build_courses(_documents(spark, sf_dir), "doc_id")
@@ -289,16 +292,37 @@ def course_segments(spark, sf_dir):
     return rows.select("doc_id", "id", "seg_pos", "g.text", "g.audio", F.round("g.duration_s", 6).alias("duration_s"))
 
 
-@query()
+@query(O.COURSE_SENTENCES)
+def course_json_records(spark, sf_dir):
+    """The sentences of nested courses, through their JSON and back."""
+    built = build_courses(_documents(spark, sf_dir), "doc_id").select("doc_id", courses.course_json(F.col("sentences")).alias("json"))
+    read = F.from_json("json", "struct<sentences:array<struct<id:int,text:string,audio:string,duration_s:double>>>")
+    return built.select("doc_id", F.explode(read["sentences"]).alias("s")).select("doc_id", "s.id", "s.text", "s.audio", F.round("s.duration_s", 6).alias("duration_s"))
+
+
+@query(f"select 'course-' || doc_id || '.pack' as file, 2 as n_records, count(*) as n_sentence_sounds from ({O.SENTENCES}) group by doc_id")
 def course_archives(spark, sf_dir):
-    """Whole course archives, as the files and sizes that are read back from them."""
+    """Whole course archives with a sound for every sentence and segment, as they are read back: course.json and meta.json,
+    and the sounds that sentences name."""
     docs = _documents(spark, sf_dir)
     built = build_courses(docs, "doc_id").withColumn("name", F.format_string("course-%d", "doc_id"))
     meta = courses.course_meta(F.col("name"), F.lit("stub"), F.lit(catalog.VOICES[0]), F.lit("culture-society"))
-    sound = F.array(F.struct(F.lit("audio/sent_0000.wav").alias("path"), F.lit(b"RIFF").alias("content")))
-    rows = built.select("name", courses.course_json(F.col("sentences")).alias("course_json"), F.to_json(meta).alias("meta_json"), sound.alias("sounds"))
+    paths = F.concat("sentences.audio", F.flatten(F.transform("sentences", lambda s: F.coalesce(s["segments"]["audio"], F.array().cast("array<string>")))))
+    sounds_of = F.transform(paths, lambda p: F.struct(p.alias("path"), F.encode(p, "utf-8").alias("content")))
+    rows = built.select("name", courses.course_json(F.col("sentences")).alias("course_json"), F.to_json(meta).alias("meta_json"), sounds_of.alias("sounds"))
     packed = archives.build_archives(rows, created_at="2026-01-01T00:00:00+00:00")
-    return packed.select("file", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = archives.members_of(packed.select(F.col("file").alias("path"), "content")).groupBy(F.col("archive").alias("file"))
+    return found.agg(F.count_if(F.col("member").endswith(".json")).cast("int").alias("n_records"), F.count_if(F.col("member").rlike(r"^audio/sent_\d{4,}\.wav$")).alias("n_sentence_sounds"))
+
+
+@query("select 's ' || doc_id % 5 || '/d' || doc_id || '.txt' as course_path, 'd' || doc_id as course_name, 's ' || doc_id % 5 as first_dir, length(text)::int as n_chars from documents where text <> ''")
+def lesson_folder(spark, sf_dir):
+    """Texts written as files of a folder with subfolders, and read again by path."""
+    docs = _documents(spark, sf_dir).where("text <> ''")
+    rows = docs.select(F.format_string("s %d/d%d.txt", F.col("doc_id") % 5, "doc_id").alias("file"), F.encode("text", "utf-8").alias("content"))
+    folder = f"{_scratch(spark)}/lessons-{uuid.uuid4().hex}"
+    files.write_files(rows, folder).count()
+    return lesson_files.read_lessons(spark, folder).select("course_path", "course_name", "first_dir", F.length("text").alias("n_chars"))
 
 
 _META = "struct<title:string,language:string,version:string,engine:string,voice:string,category:string,category_name:string>"

@@ -64,7 +64,11 @@ def extract_new(spark: SparkSession, path: str, directory: str, suffix: str = ".
 
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, file_size, content) of zip files."""
-    zips = spark.read.format("binaryFile").load(path).select("path", "content")
+    return members_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def members_of(zips: DataFrame) -> DataFrame:
+    """(archive, member, file_size, content) of zips(path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
