@@ -153,7 +153,7 @@ def segments_conserve(spark, sf_dir):
     return rows.select("doc_id", "sent_id", collapse(F.array_join(segmenting.phrases(F.col("raw")), " ")).alias("joined"))
 
 
-@query()
+@query(O.SEGMENTS)
 def segments(spark, sf_dir):
     return segmenting.explode_segments(_sentences(spark, sf_dir), "raw").select("doc_id", "sent_id", "seg_pos", "segment")
 
@@ -285,7 +285,7 @@ def course_sentences(spark, sf_dir):
     return built.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.id", "s.text", "s.audio", F.round("s.duration_s", 6).alias("duration_s"))
 
 
-@query()
+@query(O.COURSE_SEGMENTS)
 def course_segments(spark, sf_dir):
     built = build_courses(_documents(spark, sf_dir), "doc_id")
     rows = built.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.id", F.posexplode("s.segments").alias("seg_pos", "g"))
