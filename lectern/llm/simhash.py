@@ -97,16 +97,15 @@ def _differing(x: np.ndarray) -> np.ndarray:
 
 
 def _walk(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links of one small group: what is reached leaves the rest, so at most len - 1 links are emitted."""
+    """Spanning links of one small group, from the first node of each part to the others: what is reached leaves the rest,
+    so at most len - 1 links are emitted."""
     while len(fps) > 1:
-        front_f, front_n, fps, nodes = [fps[0]], [nodes[0]], fps[1:], nodes[1:]
-        while front_f and len(fps):
-            f, n = front_f.pop(), front_n.pop()
-            near = _differing(fps ^ f) <= bits
+        start, front, fps, nodes = nodes[0], [fps[0]], fps[1:], nodes[1:]
+        while front and len(fps):
+            near = _differing(fps ^ front.pop()) <= bits
             if near.any():
-                yield np.full(int(near.sum()), n), nodes[near]
-                front_f.extend(fps[near])
-                front_n.extend(nodes[near])
+                yield np.full(int(near.sum()), start), nodes[near]
+                front.extend(fps[near])
                 fps, nodes = fps[~near], nodes[~near]
 
 
@@ -281,6 +280,16 @@ def sketches(df: DataFrame, shape: tuple[int, int], id_col: str = "doc_id", text
     return map_texts(id_and_text(df, id_col, text_col), of, f"doc_id long, content binary, keys array<long>, {', '.join(f'{w} long' for w in words)}")
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Fewer links with the same components: a node's links to smaller ones give way to one to the least of these, and to
+    links from it to the others, which the nodes of a large group share.  A node has as many smaller ones as buckets it
+    is in, or chunks of them, at most."""
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    met = down.groupBy("a").agg(F.collect_set("b").alias("all")).withColumn("b", F.array_min("all"))
+    others = F.transform(F.filter("all", lambda x: x != F.col("b")), lambda x: F.struct(x.alias("a"), F.col("b").alias("b")))
+    return met.select(F.explode(F.concat(F.array(F.struct("a", "b")), others)).alias("link")).select("link.a", "link.b").distinct()
+
+
 def _in_chunks(keyed: DataFrame, hot_bucket: int) -> DataFrame:
     """Buckets over ``hot_bucket`` rows are dealt out as pairs of chunks of about that size: every pair of rows still
     meets, and no task holds more than two chunks."""
@@ -403,7 +412,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sketched = marked.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words])
     keyed = sketched.where("node is not null").select(F.explode("keys").alias("key"), "node", *words)
     nodes = materialize(marked.groupBy("content").agg(F.min("doc_id").alias("node")), "classes")
-    loose = connected_components(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity, deviations=DEVIATIONS)))
+    loose = connected_components(_contracted(_bucket_links(_in_chunks(keyed, hot_bucket), bits_for(similarity, deviations=DEVIATIONS))))
     loose = materialize(nodes.join(loose, "node").select(F.col("component").alias("grp"), "node", "content"), "loose-groups")
     links = _verified_links(df, loose, id_col, text_col, width, similarity)
     labels = nodes.join(connected_components(links), "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))

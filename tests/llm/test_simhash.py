@@ -165,6 +165,15 @@ def test_near_copy_recall_on_the_table(spark):
     assert all(got[i] == i or i in linked for i in size)
 
 
+def test_contracted_links_have_the_same_components(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(m, x) for m in range(1000, 1020) for x in range(2000, 2100) if (m + x) % 3]
+    got = [tuple(r) for r in simhash._contracted(spark.createDataFrame(links, "a long, b long")).collect()]
+    nodes = {i for pair in links for i in pair}
+    assert plain_components(sorted(nodes), got) == plain_components(sorted(nodes), links)
+    assert len(got) < len(links) / 2
+
+
 def test_block_shape():
     assert simhash.block_shape(0) == simhash.block_shape(250_000) == (96, 18)
     agree = 1 - np.arccos(1.6 / 1.8) / np.pi
