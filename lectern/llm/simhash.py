@@ -172,7 +172,7 @@ def _bucket_links(keyed: DataFrame, bits: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """nodes: (fp long, distinct; node long).  Returns (a, b): links whose components are those of all pairs of
+    """nodes: (fp long, distinct; node long).  Returns (a, b): connections whose components are those of all pairs of
     fingerprints at ``bits`` or fewer differing bits.  The hot keys are at most 10 n / hot_bucket rows."""
     keyed = nodes.select(F.explode(_block_keys(F.col("fp"), bits + 2, 2)).alias("key"), "node", "fp")
     hot = keyed.groupBy("key").count().where(F.col("count") > hot_bucket).select("key")
