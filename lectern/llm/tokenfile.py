@@ -40,9 +40,9 @@ from lectern.llm.common import id_and_text, save
 END_ID = 1
 #: Blocks handed over at once.
 BLOCKS_AT_ONCE = 16
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 64
 #: Words in each of a worker's two memo generations.
-MEMO = 400_000
+MEMO = 450_000
 #: Words that are tokenized in one call.
 WORDS_AT_ONCE = 512
 #: In lower-case Latin-1: a comma or full stop after what is surely no mark is what this doesn't find.
