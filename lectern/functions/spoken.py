@@ -89,13 +89,12 @@ def digit_words(digits: Column) -> Column:
     return F.array_join(F.transform(each, lambda d: F.element_at(table, (d.cast("int") + 1))), " ")
 
 
-def number_words(number: Column) -> Column:
-    """Words of an integer or decimal written with optional commas; what is no such number comes back unchanged.
+def words_only(number: Column) -> Column:
+    """Words of an integer or decimal written with optional commas; null for what is no such number or has no words.
 
     A decimal loses its sign, as only a positive whole part is spelled; an integer keeps it.
     """
 
-
     def of(plain: Column) -> Column:
         whole = F.regexp_extract(plain, r"^[+-]?([0-9]+)$", 1)
         sign = F.when(plain.startswith("-") & ~whole.rlike("^0+$"), F.lit("minus ")).otherwise("")
@@ -105,7 +104,12 @@ def number_words(number: Column) -> Column:
         decimal = F.when(before != "", F.concat(lead, F.lit(" point "), digit_words(after)))
         return F.when(plain.contains("."), decimal).when(whole != "", F.concat(sign, whole_words(whole)))
 
-    return F.coalesce(bind(F.regexp_replace(ascii_digits(number), ",", ""), of), number)
+    return bind(F.regexp_replace(ascii_digits(number), ",", ""), of)
+
+
+def number_words(number: Column) -> Column:
+    """The words of a number; what has none comes back unchanged."""
+    return F.coalesce(words_only(number), number)
 
 
 def _spelled(match: Column) -> Column:
