@@ -16,26 +16,31 @@ SMOOTHED_FRAMES = 3
 
 def with_frames(signals: DataFrame, samples_col: str = "samples", sr_col: str = "sr") -> DataFrame:
     """Adds frames: array of (n, rms), tumbling frames of 20 ms of which the last may be shorter, and step: a frame's
-    seconds.  Samples stay in their row; they are neither exploded nor shuffled."""
+    seconds.  Samples stay in their row; they are neither exploded nor shuffled.  They are bound, so that an expression
+    behind them is computed once for a signal and not once for a frame."""
     width = F.floor(F.lit(FRAME_S) * F.col(sr_col)).cast("int")
-    starts = F.when(F.size(samples_col) > 0, F.sequence(F.lit(0), F.floor((F.size(samples_col) - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
     square = lambda a, x: a + x.cast("double") * x.cast("double")
 
-    def frame(j: Column) -> Column:
-        part = F.slice(samples_col, j * width + 1, width)
+    def frame(samples: Column, j: Column) -> Column:
+        part = F.slice(samples, j * width + 1, width)
         return bind(part, lambda xs: F.struct(F.size(xs).cast("long").alias("n"), F.sqrt(F.aggregate(xs, F.lit(0.0), square) / F.size(xs)).alias("rms")))
 
-    return signals.withColumns({"frames": F.transform(starts, frame), "step": width / F.col(sr_col)})
+    def frames(samples: Column) -> Column:
+        starts = F.when(F.size(samples) > 0, F.sequence(F.lit(0), F.floor((F.size(samples) - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda j: frame(samples, j))
+
+    return signals.withColumns({"frames": bind(F.col(samples_col), frames), "step": width / F.col(sr_col)})
 
 
 def with_energy(framed: DataFrame) -> DataFrame:
-    """Adds energy: for each frame the mean rms over it and the two before it."""
+    """Adds energy: for each frame the mean rms over it and the two before it.  The frames' rms are bound, so that they are
+    made once for a signal and not once for a frame, wherever the optimizer puts the expression."""
 
-    def mean(j: Column) -> Column:
+    def mean(rms: Column, j: Column) -> Column:
         first = F.greatest(j - (SMOOTHED_FRAMES - 1), F.lit(0))
-        return F.aggregate(F.slice("frames.rms", first + 1, j - first + 1), F.lit(0.0), lambda a, x: a + x) / (j - first + 1)
+        return F.aggregate(F.slice(rms, first + 1, j - first + 1), F.lit(0.0), lambda a, x: a + x) / (j - first + 1)
 
-    return framed.withColumn("energy", F.transform("frames", lambda _, j: mean(j)))
+    return framed.withColumn("energy", bind(F.col("frames.rms"), lambda rms: F.transform(rms, lambda _, j: mean(rms, j))))
 
 
 def _median(values: Column) -> Column:

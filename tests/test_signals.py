@@ -73,3 +73,18 @@ def test_weights_and_wordless_texts(spark):
     none = timing.word_intervals(rows, "id", "t", "d", weight=lambda w: F.lit(0)).collect()
     assert {(r.id, r.word) for r in none} == {(1, "aa b"), (2, "?!"), (3, "")}
     assert timing.word_intervals(rows, "id", "t", "d", blank=False).where("id = 3").count() == 0
+
+
+@pytest.mark.parametrize("name", ["frame_energy", "smoothed_energy", "pause_regions"])
+def test_signals_are_not_computed_again_for_each_frame(spark, name):
+    """The samples' own expression stands once in the plan: neither in a filter nor in a frame's lambda."""
+    from lectern.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("embedding#") <= 3 and plan.count("1.0E-4") == 1
+
+
+def test_frames_of_nulls_and_empty_signals(spark):
+    df = spark.createDataFrame([(1, 1000, None), (2, 1000, []), (3, 1000, [3.0, 4.0])], "id int, sr int, samples array<double>")
+    got = {r.id: (len(r.frames), r.energy) for r in pauses.with_energy(pauses.with_frames(df)).collect()}
+    assert got == {1: (0, []), 2: (0, []), 3: (1, [math.sqrt(12.5)])}
