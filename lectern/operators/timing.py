@@ -16,14 +16,32 @@ def tokens(text: Column, closing_apart: bool = True) -> Column:
     return F.filter(F.split(spaced, rf"{SPACE}+", -1), lambda w: w != "")
 
 
-def sums_before(numbers: Column) -> Column:
-    """For each number of an array the sum of those before it.  Sums over stretches of about the square root of the length
-    come first, so no array of the whole length is built up number by number."""
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers))).cast("int"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    stretches = F.when(F.size(numbers) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")), lambda k: total(F.slice(numbers, k * width + 1, width))))
-    firsts = F.aggregate(stretches, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return bind(firsts, lambda before: F.transform(numbers, lambda _, i: before[F.floor(i / width).cast("int")] + total(F.slice(numbers, F.floor(i / width).cast("int") * width + 1, i % width))))
+def _running(numbers: Column) -> Column:
+    """The sums before each number, appended one by one: for short arrays."""
+    sums = F.aggregate(numbers, F.array(F.lit(0.0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    return bind(sums, lambda s: F.slice(s, 1, F.size(s) - 1))
+
+
+def sums_before(numbers: Column, levels: int = 5) -> Column:
+    """For each number of an array that isn't empty the sum of those before it; a null counts as zero.
+
+    Sums of four numbers each come first, and the sums before these are found in the same way, so the work grows with the
+    length: only an array shorter by 4 ** levels is built up number by number.
+    """
+    if not levels:
+        return _running(numbers)
+
+    def of(xs: Column) -> Column:
+        at = lambda k, n: F.coalesce(F.get(xs, k * 4 + n if n else k * 4), F.lit(0.0))
+        fours = F.sequence(F.lit(0), F.shiftright(F.size(xs) - 1, 2))
+        totals = F.transform(fours, lambda k: at(k, 0) + at(k, 1) + at(k, 2) + at(k, 3))
+
+        def four(first: Column, k: Column) -> Column:
+            return F.array(first, first + at(k, 0), first + at(k, 0) + at(k, 1), first + at(k, 0) + at(k, 1) + at(k, 2))
+
+        return F.slice(F.flatten(F.transform(sums_before(totals, levels - 1), four)), F.lit(1), F.size(xs))
+
+    return bind(numbers, lambda xs: F.when(F.size(xs) > 0, of(xs)).otherwise(F.transform(xs, lambda _: F.lit(0.0))))
 
 
 def word_intervals(rows: DataFrame, key: str, text_col: str, duration_col: str, weight=None, closing_apart: bool = True, blank: bool = True) -> DataFrame:
@@ -40,14 +58,17 @@ def word_intervals(rows: DataFrame, key: str, text_col: str, duration_col: str,
         base = base.withColumn("weights", F.transform("words", lambda w: weight(w).cast("double")))
         base = base.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)).withColumn("before", sums_before(F.col("weights")))
     alone = F.lit(True) if blank else (F.size("words") > 0) | (trim(F.col("text")) != "")
-    shown = F.when(F.col("total") > 0, F.col("words")).when(alone, F.array(trim(F.col("text")))).otherwise(F.array().cast("array<string>"))
-    # Only words, not texts, go through the explosion.
+    alone = F.when(alone, F.array(trim(F.col("text")))).otherwise(F.array().cast("array<string>"))
+    # Only words and numbers go through the explosion: an array there, if only for its size, would be copied for each word.
+    base = base.withColumn("n", F.size("words"))
     if weight is None:
-        spread = base.select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(shown).alias("pos", "word"))
+        spread = base.select(key, "duration", "total", "n", F.posexplode(F.when(F.col("total") > 0, F.col("words")).otherwise(alone)).alias("pos", "word"))
         before, own = F.col("pos").cast("double"), F.lit(1.0)
     else:
-        entries = F.transform(shown, lambda w, i: F.struct(w.alias("word"), F.get("before", i).alias("before"), F.get("weights", i).alias("weight")))
-        spread = base.select(key, "duration", "total", F.size("words").alias("n"), F.posexplode(entries).alias("pos", "w")).select(key, "duration", "total", "n", "pos", "w.*")
+        nothing = F.array_repeat(F.lit(None).cast("double"), F.size(alone))
+        entries = F.when(F.col("total") > 0, F.arrays_zip(F.col("words").alias("word"), "before", F.col("weights").alias("weight")))
+        entries = entries.otherwise(F.arrays_zip(alone.alias("word"), nothing.alias("before"), nothing.alias("weight")))
+        spread = base.select(key, "duration", "total", "n", F.posexplode(entries).alias("pos", "w")).select(key, "duration", "total", "n", "pos", "w.*")
         before, own = F.col("before"), F.col("weight")
     whole = F.col("total") <= 0
     start = F.when(whole, 0.0).otherwise(F.col("duration") * before / F.nullif(F.col("total"), F.lit(0.0)))

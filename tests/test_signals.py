@@ -88,3 +88,21 @@ def test_frames_of_nulls_and_empty_signals(spark):
     df = spark.createDataFrame([(1, 1000, None), (2, 1000, []), (3, 1000, [3.0, 4.0])], "id int, sr int, samples array<double>")
     got = {r.id: (len(r.frames), r.energy) for r in pauses.with_energy(pauses.with_frames(df)).collect()}
     assert got == {1: (0, []), 2: (0, []), 3: (1, [math.sqrt(12.5)])}
+
+
+def test_sums_before_against_a_loop(spark):
+    arrays = [[float(k * 7 % 12 + 1) for k in range(n)] for n in (0, 1, 3, 4, 5, 16, 17, 64, 257, 3000)]
+    df = spark.createDataFrame([(x,) for x in [*arrays, None]], "x array<double>")
+    for r in df.select("x", timing.sums_before(F.col("x")).alias("s")).collect():
+        assert r.s == (None if r.x is None else [sum(r.x[:k]) for k in range(len(r.x))])
+
+
+@pytest.mark.parametrize("weight", [None, F.length])
+def test_no_array_goes_through_the_explosion(spark, weight):
+    """Beside the exploded array a row carries its key and numbers only: arrays or texts would be copied for each word."""
+    rows = spark.createDataFrame([(1, "aa b", 3.0)], "id int, t string, d double")
+    plan = timing.word_intervals(rows, "id", "t", "d", weight=weight)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().head()
+    kept = [plan.requiredChildOutput().apply(k).dataType().simpleString() for k in range(plan.requiredChildOutput().size())]
+    assert kept and not {"string"} & set(kept) and not [k for k in kept if k.startswith("array")]
