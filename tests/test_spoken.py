@@ -84,3 +84,22 @@ def test_number_words_by_recursion(spark, numbers):
 def test_plan_stays_small_and_native(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(spoken.spoken_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and plan.count("regexp_extract_all") <= 2 * len(spoken.RULES)
+
+
+ODD = ["$5", "$640000", "1,000%", "7", "5", "%", "%6", "million", "thousand", "v2.4", "12345", "1,234,56", "a", "Bé", "x_", "_", ".", ",", "$", "-a", "3.10", "٣.١", "\n", "\t", "\u2003", "\x1c", " ", "  ", "word", "dollars000", "192.168.1.1"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD) | st.just(" "), max_size=40).map("".join), min_size=150, max_size=200))
+def test_rules_on_pieces_are_those_on_the_whole(spark, texts):
+    df = spark.createDataFrame([(t,) for t in [*texts, "word " * 3000 + "5 % " + "-a " * 3000]], "t string")
+    whole = F.col("t")
+    for rule in spoken.RULES:
+        whole = rule(whole)
+    assert df.select("t", spoken.speak_numbers(F.col("t")).alias("p"), whole.alias("w")).where("p <> w or p is null").count() == 0
+
+
+def test_rules_do_not_search_words_without_digits(spark):
+    """A text is cut between words: the rules see the pieces with digits alone."""
+    row = spark.createDataFrame([("one two 5 % three v12345 $7 million four",)], "t string")
+    assert row.select(F.split("t", spoken.BETWEEN_WORDS, -1).alias("p")).first().p == ["one ", "two 5 % three ", "v12345 $7 million ", "four"]
