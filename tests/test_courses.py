@@ -140,6 +140,24 @@ def test_lesson_files(spark, folder):
         lesson_files.require_rows(lesson_files.read_lessons(spark, str(folder)).limit(0), "lessons")
 
 
+def test_lessons_are_read_in_tasks_of_many_files(spark, tmp_path):
+    """As Spark's own source reads them, names and bytes of all kinds, but not in a task for every 32 files."""
+    root = tmp_path / "in put"
+    texts = {f"s {i % 3}/d{i}.txt": f"Text {i}.\n".encode() for i in range(1500)}
+    texts |= {"a+b %20é/x.y.txt": "Über\r\n".encode(), "deep/er/ä.txt": b"\xff\xfe\x00", "top.txt": b"\xef\xbb\xbfOne", "_=/in.txt": b"1", "none.txt": b"", ".hid.txt": b"1", "_hid/a.txt": b"1", "s 0/.hid/a.txt": b"1", "s 0/a.md": b"1"}
+    for path, text in texts.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(text)
+    got = lesson_files.read_lessons(spark, str(root))
+    source = lesson_files._scanned(spark.read.text(str(root), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt"), str(root))
+    assert got.rdd.getNumPartitions() <= 8 < source.rdd.getNumPartitions()
+    shown = lambda df: sorted(tuple(r) for r in df.select("course_path", "course_name", F.coalesce("first_dir", F.lit("-")), F.hex("text")).collect())
+    assert shown(got) == shown(source) and got.count() == 1504
+    assert shown(lesson_files.read_lessons(spark, f"file://{root}")) == shown(got)
+    with pytest.raises(Exception, match="(?i)path"):
+        lesson_files.read_lessons(spark, str(tmp_path / "none"))
+
+
 def test_folder_to_archives(spark, folder, tmp_path):
     n = cli.convert(spark, lesson_files.read_lessons(spark, str(folder)), str(tmp_path / "out"), category="given")
     made = sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.pack"))
